@@ -1,4 +1,456 @@
-"""Named queries and their DuckDB SQL."""
+"""Named queries over the driver's tables, each with DuckDB SQL for the same rows.
 
+Histories come from ``events``: a user is a tuple, its events are operations in the order of
+(ts, event_id), and an accepted operation commits at its event_id. Entries named ``ext_`` are
+extensions, what Spark gives on top.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import keys as K
+from palimpsest.functions.types import Field, fields_of
+from palimpsest.operators import versions as V
+from palimpsest.operators.catalog import SYSTEM_TABLES, Catalog
+from palimpsest.operators.index import KeyIndex, folded_columns
+from palimpsest.operators.transactions import Engine
+from palimpsest.sources import pages
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession):
+    """Writes a table to the shared folder and reads it back."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/palimpsest"
+
+    def write(df: DataFrame) -> DataFrame:
+        path = f"{root.rstrip('/')}/numbered-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return write
+
+
+# --- index: lookups, duplicates, uniqueness, deletion ---
+
+ORDER_KEY = [Field("o_orderkey", "BIGINT"), Field("o_orderpriority", "VARCHAR")]
+LINE_KEY = [Field("l_orderkey", "BIGINT"), Field("l_linenumber", "INTEGER")]
+LINE_COLUMNS = "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+@query(
+    """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+WHERE o_orderkey = 7 AND lower(o_orderpriority) = (SELECT lower(o_orderpriority) FROM orders WHERE o_orderkey = 7)"""
+)
+def index_point_get(spark, sf_dir):
+    """Equality on the whole composite key, then a projection; the number reaches the scan."""
+    orders = table(spark, sf_dir, "orders")
+    own = orders.where("o_orderkey = 7").select(F.upper("o_orderpriority").alias("p")).limit(1)
+    hit = orders.where("o_orderkey = 7").join(own, K.fold(F.col("o_orderpriority")) == K.fold(F.col("p")), "left_semi")
+    return hit.select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def lines(spark, sf_dir) -> DataFrame:
+    """lineitem with its tid: rows are numbered in the order of all columns."""
+    return pages.numbered(table(spark, sf_dir, "lineitem"), *LINE_COLUMNS, scratch=scratch(spark), name="tid")
+
+
+_LINES = f"(SELECT *, row_number() OVER (ORDER BY {', '.join(c + ' NULLS FIRST' for c in LINE_COLUMNS)}) AS tid FROM lineitem)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, tid FROM {_LINES} WHERE l_linenumber = 1 AND l_orderkey % 10 = 0")
+def index_get_duplicates(spark, sf_dir):
+    """Every tid of keys that several rows have."""
+    return lines(spark, sf_dir).where("l_linenumber = 1 and l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "tid")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS owners FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def index_unique_violations(spark, sf_dir):
+    return KeyIndex(LINE_KEY, True).violations(table(spark, sf_dir, "lineitem"))
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber > 2),
+e AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 4)
+SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.l_orderkey = c.l_orderkey AND e.l_linenumber = c.l_linenumber)
+AND (SELECT count(*) FROM c AS d WHERE d.l_orderkey = c.l_orderkey AND d.l_linenumber = c.l_linenumber) = 1"""
+)
+def unique_insert_check(spark, sf_dir):
+    """Candidates whose key is neither owned nor repeated among them."""
+    line = table(spark, sf_dir, "lineitem")
+    owned = line.where("l_linenumber <= 4").select("l_orderkey", "l_linenumber")
+    new = line.where("l_linenumber > 2").select("l_orderkey", "l_linenumber", "l_quantity")
+    return KeyIndex(LINE_KEY, True).insertable(owned, new)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, tid FROM {_LINES} WHERE NOT (l_returnflag = 'R' AND tid % 2 = 0)")
+def index_delete_entry(spark, sf_dir):
+    """Deletes single (key, tid) entries; duplicates of their keys stay."""
+    entries = lines(spark, sf_dir)
+    gone = entries.where("l_returnflag = 'R' and tid % 2 = 0")
+    return KeyIndex(LINE_KEY).delete(entries.select("l_orderkey", "l_linenumber", "tid"), gone)
+
+
+# --- keys ---
+
+
+@query("SELECT p_partkey, p_size, printf('%08X', p_size::BIGINT + 2147483648) AS k FROM part")
+def key_encode_int(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.hex(K.encode_signed(F.col("p_size"), 4)).alias("k"))
+
+
+@query("SELECT c_custkey, printf('%016X', ((c_custkey - 500)::HUGEINT + 9223372036854775808)::UBIGINT) AS k FROM customer")
+def key_encode_bigint(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.hex(K.encode_signed(F.col("c_custkey") - 500, 8)).alias("k"))
+
+
+@query("SELECT o_orderkey, true AS same_order FROM orders")
+def key_order_equivalence(spark, sf_dir):
+    """Rows in the order of their key bytes against the order of their values, place by place."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    fields = [Field("o_custkey", "BIGINT"), Field("o_totalprice", "DOUBLE"), Field("o_orderkey", "BIGINT")]
+    write = scratch(spark)
+    by_bytes = pages.numbered(orders.withColumn("k", K.composite(fields)).select("k", "o_orderkey"), "k", scratch=write, name="a")
+    by_value = pages.numbered(orders, "o_custkey", "o_totalprice", "o_orderkey", scratch=write, name="b")
+    return by_bytes.select("o_orderkey", "a").join(by_value.select("o_orderkey", "b"), "o_orderkey").select("o_orderkey", (F.col("a") == F.col("b")).alias("same_order"))
+
+
+@query("SELECT nfc_normalize(lower(p_type)) AS folded, count(*) AS n FROM part GROUP BY 1")
+def text_key_fold(spark, sf_dir):
+    folded = folded_columns([Field("p_type", "VARCHAR")])[0]
+    return table(spark, sf_dir, "part").groupBy(folded.alias("folded")).agg(F.count("*").alias("n"))
+
+
+_DOUBLES = "(VALUES (1, '-Infinity'::DOUBLE), (2, -2.5), (3, -0.0), (4, 0.0), (5, 1e-300), (6, 3.56), (7, 'Infinity'::DOUBLE), (8, 'NaN'::DOUBLE)) t(id, x)"
+
+
+@query(f"SELECT id::BIGINT AS id, dense_rank() OVER (ORDER BY x)::BIGINT AS place FROM {_DOUBLES}")
+def double_key_order(spark, sf_dir):
+    """Both zeros share a key; NaN comes after infinity."""
+    from pyspark.sql import Window
+
+    rows = spark.createDataFrame([(1, float("-inf")), (2, -2.5), (3, -0.0), (4, 0.0), (5, 1e-300), (6, 3.56), (7, float("inf")), (8, float("nan"))], "id long, x double")
+    return rows.withColumn("k", K.encode_double(F.col("x"))).select("id", F.dense_rank().over(Window.orderBy("k")).cast("bigint").alias("place"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_orderkey << 32) | l_linenumber AS tid, l_orderkey AS page, l_linenumber::BIGINT AS slot FROM lineitem")
+def tid_pack_unpack(spark, sf_dir):
+    packed = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", K.pack_tid(F.col("l_orderkey"), F.col("l_linenumber")).alias("tid"))
+    key = K.encode_unsigned(F.col("tid"), 8)
+    back = K.tid_of_key(key)
+    return packed.select("l_orderkey", "l_linenumber", "tid", K.tid_page(back).alias("page"), K.tid_slot(back).alias("slot"))
+
+
+# --- pages ---
+
+_ORDER_FIELDS = [Field("o_orderkey", "BIGINT"), Field("o_custkey", "BIGINT"), Field("o_orderstatus", "VARCHAR"), Field("o_totalprice", "DOUBLE")]
+_PER_PAGE = pages.rows_per_page(pages.row_chunk_bytes(_ORDER_FIELDS))
+
+
+@query(
+    f"""SELECT o_orderkey, ((n - 1) // {_PER_PAGE} + 1)::BIGINT AS page, ((n - 1) % {_PER_PAGE})::BIGINT AS slot
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)"""
+)
+def fsm_page_assign(spark, sf_dir):
+    """The page and slot of each order, inserted in key order."""
+    placed = pages.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", scratch=scratch(spark))
+    tid = pages.tid_of(F.col("ordinal"), _PER_PAGE)
+    return placed.select("o_orderkey", K.tid_page(tid).alias("page"), K.tid_slot(tid).alias("slot"))
+
+
+@query(
+    """WITH t(name, widths) AS (VALUES ('pg_database', [4,16]), ('pg_namespace', [4,16]), ('pg_class', [4,16,4,1,16]), ('pg_attribute', [4,4,16,4,2,1]),
+('pg_index', [4,4,1,1,1,1,1,1,1,1]), ('pg_type', [4,16,4,2,1,1]), ('pg_constraint', [4,16,4,1,1,1,1,4,4,4]), ('pg_language', [4,16,1,1,4,4,4]),
+('pg_proc', [4,16,4,4,8,8,4,1,1,1,1,1,2,2,4,16,16,16,16,16,16,16]))
+SELECT name, list_sum(widths)::BIGINT AS row_bytes, ((8192 - 4 - (list_sum(widths) - len(widths))) * 8 // (1 + 8 * list_sum(widths)))::BIGINT AS max_rows,
+CASE name WHEN 'pg_database' THEN 204 WHEN 'pg_namespace' THEN 204 WHEN 'pg_class' THEN 93 WHEN 'pg_attribute' THEN 102 WHEN 'pg_index' THEN 93 WHEN 'pg_type' THEN 113
+WHEN 'pg_constraint' THEN 73 WHEN 'pg_language' THEN 93 ELSE 25 END::BIGINT AS rows_per_page FROM t"""
+)
+def pax_capacity(spark, sf_dir):
+    made = [(n, pages.page_layout(f).row_bytes, pages.page_layout(f).max_rows, pages.rows_per_page(pages.row_chunk_bytes(f))) for n, f in SYSTEM_TABLES.items()]
+    return spark.createDataFrame(made, "name string, row_bytes long, max_rows long, rows_per_page long")
+
+
+@query(f"SELECT tid, (4 + (tid - 1) // 8)::BIGINT AS byte, ((tid - 1) % 8)::BIGINT AS bit FROM {_LINES} WHERE l_returnflag = 'R' AND tid <= 5000")
+def tombstone_bits(spark, sf_dir):
+    """Where the tombstone of each of a page's rows lies."""
+    byte, bit = pages.tombstone(F.col("tid") - 1)
+    return lines(spark, sf_dir).where("l_returnflag = 'R' and tid <= 5000").select("tid", byte.alias("byte"), bit.alias("bit"))
+
+
+# --- versions ---
+
+_OP = "CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END"
+_HISTORY = f"""
+ops AS (SELECT event_id, ts, user_id, value, props, {_OP} AS op FROM events),
+judged AS (SELECT *, last_value(CASE WHEN op IN ('I', 'D') THEN op END IGNORE NULLS)
+  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ops),
+log AS (SELECT *, event_id AS commit_ts FROM judged WHERE (op = 'I') <> coalesce(before = 'I', false)),
+cut AS (SELECT max(event_id) // 2 AS s FROM events)"""
+
+
+def operations(spark, sf_dir) -> DataFrame:
+    op = F.when(F.col("event_type") == "signup", V.INSERT).when(F.col("event_type") == "error", V.DELETE).otherwise(V.UPDATE)
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "props", op.alias("op"))
+
+
+def history(spark, sf_dir) -> tuple[DataFrame, int]:
+    """The log of accepted operations, and a stamp in the middle of it."""
+    ops = operations(spark, sf_dir)
+    kept = V.accepted(ops, "user_id", "ts", "event_id").where("ok")
+    # a click changes the value alone, other updates both columns
+    both = F.array(F.lit("value"), F.lit("props"))
+    log = kept.select(
+        F.col("user_id").alias("tid"), "op", F.lit(1).cast("long").alias("seq"), F.col("event_id").alias("txn_id"), F.col("event_id").alias("commit_ts"),
+        F.when(F.col("op") == V.DELETE, F.array().cast("array<string>")).when((F.col("op") == V.UPDATE) & (F.col("event_id") % 2 == 0), F.array(F.lit("value"))).otherwise(both).alias("set_cols"),
+        F.struct("value", "props").alias("payload"),
+    )
+    middle = (ops.agg(F.max("event_id")).first()[0] or 0) // 2
+    return log, middle
+
+
+_FOLD = """
+seen AS (SELECT * FROM log, cut WHERE commit_ts <= s),
+folded AS (SELECT user_id AS tid, arg_max(op, commit_ts) AS head,
+  arg_max({'v': value}, commit_ts) FILTER (WHERE op <> 'D') AS value,
+  arg_max({'v': props}, commit_ts) FILTER (WHERE op = 'I' OR (op = 'U' AND event_id % 2 = 1)) AS props FROM seen GROUP BY user_id)"""
+
+
+@query(
+    f"""WITH {_HISTORY} SELECT event_type, CASE WHEN (op = 'I') <> coalesce(before = 'I', false) THEN 'ok' WHEN op = 'I' THEN 'insert_live' ELSE 'modify_absent' END AS outcome,
+count(*) AS n FROM judged JOIN events USING (event_id) GROUP BY 1, 2"""
+)
+def dml_outcomes(spark, sf_dir):
+    """Operations that are accepted, and those that find the row live or absent."""
+    judged = V.accepted(operations(spark, sf_dir), "user_id", "ts", "event_id")
+    kind = table(spark, sf_dir, "events").select("event_id", "event_type")
+    outcome = F.when(F.col("ok"), "ok").when(F.col("op") == V.INSERT, "insert_live").otherwise("modify_absent")
+    return judged.select("event_id", outcome.alias("outcome")).join(kind, "event_id").groupBy("event_type", "outcome").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_HISTORY}, {_FOLD} SELECT tid FROM folded WHERE head <> 'D'")
+def snapshot_read_asof(spark, sf_dir):
+    log, middle = history(spark, sf_dir)
+    return V.fold(log, ["value"], middle).select("tid")
+
+
+@query(f"WITH {_HISTORY}, {_FOLD} SELECT tid, value.v AS value, props.v AS props FROM folded WHERE head <> 'D'")
+def snapshot_delta_merge(spark, sf_dir):
+    """Each row's columns at the last operation that set them."""
+    log, middle = history(spark, sf_dir)
+    return V.fold(log, ["value", "props"], middle)
+
+
+@query(
+    f"""WITH {_HISTORY} SELECT user_id AS tid, CASE WHEN arg_max(op, commit_ts) FILTER (WHERE commit_ts <= s) IS NULL THEN 'NotVisible'
+WHEN arg_max(op, commit_ts) FILTER (WHERE commit_ts <= s) = 'D' THEN 'Deleted' ELSE 'Visible' END AS status FROM log, cut GROUP BY user_id"""
+)
+def snapshot_row_status(spark, sf_dir):
+    log, middle = history(spark, sf_dir)
+    return V.row_status(log, middle)
+
+
+@query(f"WITH {_HISTORY} SELECT user_id AS tid, max(commit_ts) AS deleted_at FROM log GROUP BY user_id HAVING arg_max(op, commit_ts) = 'D'")
+def delete_tombstone_filter(spark, sf_dir):
+    """Tuples whose newest version is a deletion."""
+    log, _ = history(spark, sf_dir)
+    return V.heads(log).where(F.col("op") == V.DELETE).select("tid", F.col("stamp").alias("deleted_at"))
+
+
+def own_rows(spark, sf_dir, log: DataFrame, me: int) -> DataFrame:
+    """Uncommitted updates of one transaction to every third live user."""
+    users = log.where(F.col("tid") % 3 == 0).select("tid").distinct()
+    return users.select("tid", F.lit("U").alias("op"), F.lit(1).cast("long").alias("seq"), F.lit(me).cast("long").alias("txn_id"), F.lit(None).cast("long").alias("commit_ts"), F.array(F.lit("value")).alias("set_cols"), F.struct(F.lit(-1.0).alias("value"), F.lit(None).cast("string").alias("props")).alias("payload"))
+
+
+@query(f"WITH {_HISTORY}, {_FOLD} SELECT tid, CASE WHEN tid % 3 = 0 THEN -1.0 ELSE value.v END AS value, props.v AS props FROM folded WHERE head <> 'D'")
+def own_writes_visible(spark, sf_dir):
+    """The writer sees its own uncommitted updates of live rows, and nobody else's."""
+    log, middle = history(spark, sf_dir)
+    me = 1 << 40
+    live = V.fold(log, ["value"], middle).select("tid")
+    mine = own_rows(spark, sf_dir, log, me).join(live, "tid", "left_semi")
+    others = own_rows(spark, sf_dir, log, me + 1)
+    return V.fold(log.unionByName(mine).unionByName(others), ["value", "props"], middle, me)
+
+
+@query(f"WITH {_HISTORY}, {_FOLD} SELECT tid, value.v AS value, props.v AS props FROM folded WHERE head <> 'D'")
+def abort_restores(spark, sf_dir):
+    """Rows of a transaction that aborted are in no commit, so the values from before are back."""
+    log, middle = history(spark, sf_dir)
+    return V.fold(log.unionByName(own_rows(spark, sf_dir, log, 1 << 40)), ["value", "props"], middle)
+
+
+@query(
+    f"""WITH {_HISTORY}, heads AS (SELECT user_id AS tid, arg_max(op, event_id) AS op, max(event_id) AS stamp FROM log GROUP BY user_id)
+SELECT tid, CASE WHEN tid % 5 = 0 THEN 'open' WHEN tid % 7 = 0 THEN 'own' ELSE 'committed' END AS writer,
+CASE WHEN tid % 5 = 0 THEN true WHEN tid % 7 = 0 THEN false ELSE stamp > s END AS conflict FROM heads, cut"""
+)
+def write_conflicts(spark, sf_dir):
+    """For each tuple, whether its newest version keeps a transaction from the middle from
+    writing: it is another's and open, its own, or committed before or since."""
+    log, middle = history(spark, sf_dir)
+    me = 1 << 40
+    tid = F.col("tid")
+    stamp = F.when(tid % 5 == 0, F.lit(me + 1 + V.OPEN)).when(tid % 7 == 0, F.lit(me + V.OPEN)).otherwise(F.col("stamp"))
+    writer = F.when(tid % 5 == 0, "open").when(tid % 7 == 0, "own").otherwise("committed")
+    return V.heads(log).select("tid", writer.alias("writer"), V.conflicts(stamp, middle, me).alias("conflict"))
+
+
+@query(
+    f"""WITH {_HISTORY}, heads AS (SELECT user_id AS tid, user_id % 20 AS k, arg_max(op, event_id) AS op, max(event_id) AS stamp FROM log GROUP BY user_id),
+verdicts AS (SELECT k, tid, stamp > s + s // 2 AS conflict, op FROM heads, cut)
+SELECT k, min(tid) AS tid, arg_min(conflict, tid) AS conflict FROM verdicts WHERE conflict OR op <> 'D' GROUP BY k"""
+)
+def tid_for_modify(spark, sf_dir):
+    """For each key of several owners, the first live tid, and whether one up to it conflicts."""
+    log, middle = history(spark, sf_dir)
+    owners = V.heads(log).withColumn("k", F.col("tid") % 20)
+    return KeyIndex([Field("k", "BIGINT")]).target_for_modify(owners, middle + middle // 2, 1 << 40)
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey AS txn, o_custkey AS k, o_orderkey AS start_ts, o_orderkey + 200 AS end_ts FROM orders)
+SELECT a.txn, a.k FROM t a WHERE EXISTS (SELECT 1 FROM t b WHERE b.k = a.k AND b.start_ts < a.start_ts AND b.end_ts > a.start_ts)"""
+)
+def first_updater_wins(spark, sf_dir):
+    """Of transactions that overlap on a key, those that another had written first. A window
+    per key finds the latest earlier end, without laying the key's rows against each other."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("k").orderBy("start_ts").rowsBetween(Window.unboundedPreceding, -1)
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txn"), F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("start_ts"), (F.col("o_orderkey") + 200).alias("end_ts"))
+    return t.withColumn("before", F.max("end_ts").over(w)).where("before > start_ts").select("txn", "k")
+
+
+@query(f"WITH {_HISTORY} SELECT user_id AS tid, arg_max(op, commit_ts) = 'D' AS free FROM log, cut WHERE commit_ts <= s GROUP BY user_id")
+def unique_key_free(spark, sf_dir):
+    """Whether each key's owner leaves it free: its newest version is a deletion in the snapshot."""
+    log, middle = history(spark, sf_dir)
+    head = V.heads(log.where(F.col("commit_ts") <= middle))
+    return head.select("tid", ((F.col("op") == V.DELETE) & ~V.conflicts(F.col("stamp"), middle, 1 << 40)).alias("free"))
+
+
+@query(f"WITH {_HISTORY}, {_FOLD} SELECT tid FROM folded WHERE head <> 'D' ORDER BY tid LIMIT 20")
+def slot_scan_first_n(spark, sf_dir):
+    """The first 20 slots; the number is the feature."""
+    log, middle = history(spark, sf_dir)
+    return V.fold(log, ["value"], middle).select("tid").orderBy("tid").limit(20)
+
+
+# --- catalog ---
+
+
+def catalog_of(spark, sf_dir):
+    """A new engine in the shared folder whose catalog has the driver's tables."""
+    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/palimpsest").rstrip("/")
+    engine = Engine(spark, f"{root}/catalog-{uuid.uuid4().hex}")
+    catalog = Catalog(engine)
+    with engine.begin() as txn:
+        db = catalog.create_database(txn, "bench")
+        public = db.create_namespace(txn, "public")
+        db.create_tables(txn, public, [(t, fields_of(table(spark, sf_dir, t).schema)) for t in TABLES])
+    return engine, catalog, db
+
+
+_shared: dict[tuple[str, str], tuple] = {}
+
+
+def shared_catalog(spark, sf_dir):
+    """One such engine for the queries of an application that only read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _shared:
+        _shared[key] = catalog_of(spark, sf_dir)
+    return _shared[key]
+
+
+_CLASSES = f"(SELECT row_number() OVER ()::INTEGER AS reloid, name AS relname FROM (SELECT unnest({TABLES!r}) AS name))"
+
+
+@query(f"SELECT reloid, relname, 1::INTEGER AS relnamespace, 'r' AS relkind FROM {_CLASSES}")
+def ddl_catalog_classes(spark, sf_dir):
+    engine, _, db = shared_catalog(spark, sf_dir)
+    found = db.select(engine.begin(), "pg_class")
+    return found.select("reloid", "relname", "relnamespace", F.char(F.col("relkind").cast("int")).alias("relkind"))
+
+
+@query(
+    f"""SELECT c.reloid AS attrelid, k.column_name AS attname,
+CASE WHEN k.data_type = 'INTEGER' THEN 4 WHEN k.data_type IN ('BIGINT', 'DOUBLE') THEN 8 ELSE 16 END::SMALLINT AS attlen
+FROM {_CLASSES} c JOIN information_schema.columns k ON k.table_name = c.relname"""
+)
+def ddl_catalog_attributes(spark, sf_dir):
+    engine, _, db = shared_catalog(spark, sf_dir)
+    return db.select(engine.begin(), "pg_attribute").select("attrelid", "attname", "attlen")
+
+
+@query("SELECT 'namespace' AS what, true AS found UNION ALL SELECT 'relation', true UNION ALL SELECT 'no namespace', false UNION ALL SELECT 'no relation', false")
+def ddl_exists_checks(spark, sf_dir):
+    engine, _, db = shared_catalog(spark, sf_dir)
+    txn = engine.begin()
+    wanted = spark.createDataFrame([("namespace", 1), ("relation", 14), ("no namespace", 9), ("no relation", 15)], "what string, oid int")
+    there = db.select(txn, "pg_namespace").select(F.lit("namespace").alias("kind"), F.col("nspoid").alias("oid")).union(db.select(txn, "pg_class").select(F.lit("relation"), "reloid"))
+    asked = wanted.withColumn("kind", F.element_at(F.split("what", " "), -1))
+    hits = asked.join(there, ["kind", "oid"], "left_semi").select("what", F.lit(True).alias("found"))
+    return hits.union(asked.join(there, ["kind", "oid"], "left_anti").select("what", F.lit(False)))
+
+
+@query(f"SELECT reloid, CASE relname WHEN 'orders' THEN 'purchases' ELSE relname END AS relname, 'r' AS relkind FROM {_CLASSES}")
+def rename_keeps_oid(spark, sf_dir):
+    engine, _, db = catalog_of(spark, sf_dir)
+    with engine.begin() as txn:
+        db.rename_table(txn, TABLES.index("orders") + 1, "purchases")
+    return db.select(engine.begin(), "pg_class").select("reloid", "relname", F.char(F.col("relkind").cast("int")).alias("relkind"))
+
+
+@query("SELECT c_custkey, true AS visible FROM customer WHERE c_custkey % 2 = 0")
+def table_insert_delete(spark, sf_dir):
+    """A table's life through the engine: insert, delete in a transaction, read the snapshot."""
+    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/palimpsest").rstrip("/")
+    from palimpsest.operators.table import VersionedTable
+
+    engine = Engine(spark, f"{root}/table-{uuid.uuid4().hex}")
+    t = VersionedTable(engine, "customer", [Field("c_custkey", "BIGINT"), Field("c_name", "VARCHAR", 0, True), Field("c_acctbal", "DOUBLE", 0, True)])
+    with engine.begin() as txn:
+        t.insert(txn, table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), order=["c_custkey"])
+    with engine.begin() as txn:
+        t.delete(txn, t.snapshot(txn).where("c_custkey % 2 = 1").select("tid"))
+    return t.snapshot(engine.begin()).select("c_custkey", F.lit(True).alias("visible"))
+
+
+# --- extensions ---
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 199")
+def ext_index_range(spark, sf_dir):
+    """Range scan; the bounds reach the Parquet scan."""
+    return table(spark, sf_dir, "orders").where(F.col("o_orderkey").between(100, 199)).select("o_orderkey", "o_totalprice").orderBy("o_orderkey")
+
+
+@query(f"WITH {_HISTORY}, {_FOLD} SELECT event_type, count(*) AS n, count(DISTINCT tid) AS users FROM folded JOIN events ON user_id = tid WHERE head <> 'D' GROUP BY event_type")
+def ext_snapshot_join_aggregate(spark, sf_dir):
+    """A snapshot composes with joins and aggregates."""
+    log, middle = history(spark, sf_dir)
+    live = V.fold(log, ["value"], middle)
+    events = table(spark, sf_dir, "events").select("user_id", "event_type")
+    return live.join(events, live.tid == events.user_id).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("tid").alias("users"))
