@@ -38,6 +38,27 @@ def words_of(text: str) -> list[bytes]:
     return (text.lower().encode() if text.isascii() else text.translate(ASCII_LOWER).encode("utf-8", "surrogatepass")).split()
 
 
+#: Bits of the table that most strings which are no piece fail to pass.
+SLOTS = 20
+
+
+def _roll(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of strings from those of the strings without their last characters."""
+    return (h ^ h >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + codes + np.uint64(1)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOTS)
+
+
+def _hashes(pieces: list[str]) -> np.ndarray:
+    h = np.zeros(len(pieces), np.uint64)
+    for k in range(max(map(len, pieces))):
+        at = np.array([i for i, p in enumerate(pieces) if len(p) > k])
+        h[at] = _roll(h[at], np.array([ord(pieces[i][k]) for i in at], np.uint64))
+    return h
+
+
 class Lattice:
     """Pieces with natural-log weights; index ``unknown`` stands for a character without piece."""
 
@@ -50,6 +71,11 @@ class Lattice:
         skip = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(size)]
         self.pieces = {sp.id_to_piece(i): i for i in range(size) if not skip[i]}
         self.longest = max(map(len, self.pieces))
+        hashes = _hashes(list(self.pieces))
+        order = np.argsort(hashes)
+        self.hashes, self.hashed = hashes[order], np.array(list(self.pieces.values()), np.int32)[order]
+        self.present = np.zeros(1 << SLOTS, bool)
+        self.present[_slot(hashes)] = True
         self.initial = np.zeros(size + 1, bool)
         for p, i in self.pieces.items():
             self.initial[i] = p[0] == MARK
@@ -77,45 +103,55 @@ class Lattice:
         return out
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, log weights) by word, start and length - 1; words are marked and of one length."""
+        """(ids, log weights) by length - 1, start and word; words are marked and of one length.
+
+        Pieces are looked up by 64-bit hashes of their code points, all words at a time.
+        """
         n, m = len(words[0]), min(self.longest, len(words[0]))
-        ids = np.full((len(words), n, m), -1, np.int32)
-        get = self.pieces.get
-        extra = np.zeros((len(words), n))
-        for w, word in enumerate(words):
-            row = [[get(word[i : i + k], -1) for k in range(1, min(m, n - i) + 1)] + [-1] * (m - min(m, n - i)) for i in range(n)]
-            for i in range(n):
-                if row[i][0] < 0:
-                    row[i][0] = self.unknown
-                    extra[w, i] = -len(word[i].encode("utf-8", "surrogatepass")) * math.log(256)
-            ids[w] = row
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
+        codes = np.ascontiguousarray(codes.T).astype(np.uint64)
+        ids = np.full((m, n, len(words)), -1, np.int32)
+        h = np.zeros_like(codes)
+        for k in range(1, m + 1):
+            h = _roll(h[: n - k + 1], codes[k - 1 :])
+            i, w = np.nonzero(self.present[_slot(h)])
+            found = h[i, w]
+            at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+            hit = self.hashes[at] == found
+            ids[k - 1, i[hit], w[hit]] = self.hashed[at[hit]]
         lp = np.where(ids >= 0, self.weights[ids], -np.inf)
-        lp[:, :, 0] += extra
+        alone = ids[0] < 0
+        if alone.any():
+            size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)  # of UTF-8
+            ids[0][alone] = self.unknown
+            lp[0][alone] = self.weights[self.unknown] - size[alone] * math.log(256)
         return ids, lp
 
     @staticmethod
     def _sum(x: np.ndarray) -> np.ndarray:
-        top = x.max(1)
+        top = x.max(0)
         safe = np.where(np.isfinite(top), top, 0.0)
         with np.errstate(divide="ignore"):
-            return safe + np.log(np.exp(x - safe[:, None]).sum(1))
+            return safe + np.log(np.exp(x - safe).sum(0))
 
     def forward(self, lp: np.ndarray) -> np.ndarray:
-        w, n, m = lp.shape
-        alpha = np.full((w, n + 1), -np.inf)
-        alpha[:, 0] = 0
+        """Log sums over the segmentations of each word's first 0, 1, ... characters."""
+        m, n, w = lp.shape
+        alpha = np.full((n + 1, w), -np.inf)
+        alpha[0] = 0
         for j in range(1, n + 1):
             ks = np.arange(1, min(m, j) + 1)
-            alpha[:, j] = self._sum(alpha[:, j - ks] + lp[:, j - ks, ks - 1])
+            alpha[j] = self._sum(alpha[j - ks] + lp[ks - 1, j - ks])
         return alpha
 
     def backward(self, lp: np.ndarray) -> np.ndarray:
-        w, n, m = lp.shape
-        beta = np.full((w, n + 1), -np.inf)
-        beta[:, n] = 0
+        """Log sums over the segmentations of what follows each place."""
+        m, n, w = lp.shape
+        beta = np.full((n + 1, w), -np.inf)
+        beta[n] = 0
         for i in range(n - 1, -1, -1):
             ks = np.arange(1, min(m, n - i) + 1)
-            beta[:, i] = self._sum(beta[:, i + ks] + lp[:, i, ks - 1])
+            beta[i] = self._sum(beta[i + ks] + lp[ks - 1, i])
         return beta
 
     def _grouped(self, words: list[str]):
@@ -133,7 +169,7 @@ class Lattice:
         out = np.empty(len(words))
         for at in self._grouped(words):
             _, lp = self.arcs([MARK + words[i] for i in at])
-            out[at] = self.forward(lp)[:, -1] + self.weights[-1]
+            out[at] = self.forward(lp)[-1] + self.weights[-1]
         return out
 
     def expected(self, words: list[str], weight: np.ndarray) -> np.ndarray:
@@ -142,12 +178,10 @@ class Lattice:
         for at in self._grouped(words):
             ids, lp = self.arcs([MARK + words[i] for i in at])
             alpha, beta = self.forward(lp), self.backward(lp)
-            n, m = lp.shape[1:]
-            ends = np.minimum(np.arange(n)[:, None] + np.arange(1, m + 1), n)
+            k, i, w = np.nonzero(ids >= 0)
             with np.errstate(invalid="ignore"):
-                post = np.exp(alpha[:, :n, None] + lp + beta[:, ends] - alpha[:, -1][:, None, None])
-            post = np.where(ids >= 0, np.nan_to_num(post), 0.0) * weight[at][:, None, None]
-            counts += np.bincount(np.maximum(ids, 0).ravel(), post.ravel(), self.unknown + 1)
+                post = np.exp(alpha[i, w] + lp[k, i, w] + beta[i + k + 1, w] - alpha[-1, w])
+            counts += np.bincount(ids[k, i, w], np.nan_to_num(post) * weight[at][w], self.unknown + 1)
         return counts
 
 
