@@ -1,9 +1,10 @@
 """Encoding and decoding with a merge-type (BPE) SentencePiece model.
 
-A chunk of text starts as single characters. An agenda (a heap) holds every adjacent pair
-whose concatenation is a piece, the best score first and the leftmost among equals; the best
-pair is merged and its new neighbours enter the agenda, until it is empty. Characters that
-are no piece become the byte pieces of their UTF-8 form.
+A chunk of text starts as single characters. An agenda holds every adjacent pair whose
+concatenation is a piece, the best score first and the leftmost among equals; the best pair
+is merged and its new neighbours enter the agenda, until it is empty. The agenda of a long
+chunk is a heap; that of a short one is a list, whose least number is quicker found.
+Characters that are no piece become the byte pieces of their UTF-8 form.
 
 No merge crosses the edge between a character and a word mark, or touches a character that
 only stands alone in the vocabulary (a line feed, say), as no piece spans such an edge. So a
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from itertools import groupby
 
 import pyarrow as pa
@@ -28,6 +30,9 @@ from palimpsest.llm.common import Memo, documents, strings
 MARK = "▁"
 #: Distinct chunks that a worker remembers.
 CACHE_CHUNKS = 300_000
+#: Characters of a chunk whose agenda is a list.
+SHORT = 48
+_SHIFT, _NONE = 20, 1 << 60
 
 
 class AgendaEncoder:
@@ -48,14 +53,57 @@ class AgendaEncoder:
         #: What each id adds to a decoded text; control pieces add nothing.
         self.surface = [byte_of.get(i) or (b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ").encode()) for i in range(size)]
         joined = {c for p in self.vocab if len(p) > 1 for c in p}
+        #: Numbers of the characters that pieces consist of; those that are no piece come after all.
+        self.char = {c: self.vocab[c][1] if c in self.vocab else size + i for i, c in enumerate(sorted(joined))}
+        self.char |= {p: i for p, (_, i) in self.vocab.items() if len(p) == 1}
+        self.size = size
+        self.pairs = self._pairs()
         spans = any(MARK in p.lstrip(MARK) for p in self.vocab)
         #: Whether texts can be cut before word marks and at line feeds.
         self.cuts = not spans and "\n" not in joined
         self.known = Memo(cache_chunks)
         self.chunks = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
+    def _pairs(self) -> tuple[dict[int, int], dict[int, int]] | None:
+        """From two symbols' numbers side by side to the place of the piece they make in the
+        order of scores, and to its id; None if numbers are too large for that."""
+        if self.size + len(self.char) >> _SHIFT:
+            return None
+        place = {score: i for i, score in enumerate(sorted({score for score, _ in self.vocab.values()}))}
+
+        def number(s: str) -> int | None:
+            return self.char.get(s) if len(s) == 1 else self.vocab[s][1] if s in self.vocab else None
+
+        places, ids = {}, {}
+        for p, (score, i) in self.vocab.items():
+            for k in range(1, len(p)):
+                a, b = number(p[:k]), number(p[k:])
+                if a is not None and b is not None:
+                    places[a << _SHIFT | b], ids[a << _SHIFT | b] = place[score], i
+        return places, ids
+
     def merge(self, chunk: str) -> list[int]:
         """The ids of a chunk, in which blanks are already word marks, by the agenda."""
+        if self.pairs is None or len(chunk) > SHORT:
+            return self._merge_long(chunk)
+        number, pair, ids = self.char.get, self.pairs[0].get, self.pairs[1]
+        # other characters get negative numbers, which no pair has
+        sym = [number(c, ~ord(c)) for c in chunk]
+        agenda = [pair(a << _SHIFT | b, _NONE) for a, b in zip(sym, sym[1:])]
+        while agenda and (best := min(agenda)) != _NONE:
+            i = agenda.index(best)  # the leftmost
+            new = sym[i] = ids[sym[i] << _SHIFT | sym[i + 1]]
+            del sym[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = pair(new << _SHIFT | sym[i + 1], _NONE)
+            if i:
+                agenda[i - 1] = pair(sym[i - 1] << _SHIFT | new, _NONE)
+        if sym and (min(sym) < 0 or max(sym) >= self.size):
+            names = {v: c for c, v in self.char.items() if v >= self.size}
+            return [x for i in sym for x in ([i] if 0 <= i < self.size else [self.bytes[b] for b in (chr(~i) if i < 0 else names[i]).encode()])]
+        return sym
+
+    def _merge_long(self, chunk: str) -> list[int]:
         vocab, sym = self.vocab, list(chunk)
         n = len(sym)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -109,7 +157,7 @@ class AgendaEncoder:
                 if ids != (e if b else e[len(lead):]):
                     raise ValueError(f"the agenda's ids differ from the library's for {c[:80]!r}")
         for c, ids in zip(chunks, made):
-            self.known[c] = b"".join(i.to_bytes(4, "little") for i in ids)
+            self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, with begin and end."""
@@ -117,12 +165,13 @@ class AgendaEncoder:
         out = []
         for text in texts:
             chunks = self.cut(text)
-            try:
-                body = b"".join(map(self.known.__getitem__, chunks))
-            except KeyError:
-                self.learn(self.known.lacks(chunks))
-                body = b"".join(map(self.known.__getitem__, chunks))
-            out.append(begin + body + end)
+            parts = list(map(self.known.get, chunks))
+            if None in parts:
+                at = [i for i, p in enumerate(parts) if p is None]
+                self.learn(self.known.lacks([chunks[i] for i in at]))
+                for i in at:
+                    parts[i] = self.known[chunks[i]]
+            out.append(begin + b"".join(parts) + end)
             self.known.turn()
         return out
 
