@@ -1,0 +1,98 @@
+"""Line dedup against a plain Python version, DuckDB and the cases its docstring defines."""
+
+import random
+from collections import defaultdict
+from pathlib import Path
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import line_dedup as L
+
+SF = Path("/root/testdata/sf0.001")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute(docs, min_chars=10):
+    """{doc_id: (text, n_lines, n_dropped)} of distinct, non-null ids."""
+    def key(line):
+        return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+
+    owners = defaultdict(set)
+    for i, t in docs:
+        for line in (t or "").split("\n"):
+            owners[key(line)].add(i)
+    out = {}
+    for i, t in docs:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < min_chars or min(owners[key(x)]) == i]
+        out[i] = ("\n".join(kept), len(lines), len(lines) - len(kept))
+    return out
+
+
+def run(spark, docs, **kw):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    return {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in L.line_dedup(df, **kw).collect()}
+
+
+@pytest.mark.parametrize("batches,fanout", [(1, 3), (4, 2), (7, 2)])
+def test_equals_brute_force(spark, batches, fanout):
+    rng = random.Random(batches)
+    lines = [rng.choice(["a shared line %d", "  A Shared LINE %d\t", "short %d", "ein längerer Satz %d", "ÄÖÜ shared line %d", "ÄöÜ shared line %d"]) % rng.randrange(12) for _ in range(60)]
+    docs = [(i, rng.choice([None, "", "\n", "\n".join(rng.choices(lines, k=rng.randrange(1, 9))) + rng.choice(["", "\n", "\r"])])) for i in rng.sample(range(1000), 90)]
+    assert run(spark, docs, batches=batches, fanout=fanout) == brute(docs)
+
+
+def test_ends_and_limits(spark):
+    docs = [
+        (5, "0123456789\n012345678\nÀ la carte été\nABCDEFGHIJ"),
+        (3, "\x0b0123456789\x0c\n012345678\nà la carte été\nabcdefghij\nabcdefghij"),
+        (9, "0123456789 \nABCDEFGHIJ"),
+    ]
+    assert run(spark, docs) == brute(docs)
+    assert run(spark, docs)[5] == ("012345678\nÀ la carte été", 4, 2)  # À is not lower-cased
+    assert run(spark, docs)[3][2] == 0  # repeats within the owner stay
+
+
+def test_nulls_repeats_and_other_columns(spark):
+    line = "the very same line"
+    rows = [(None, line, 1, "x"), (None, line, 2, "y"), (7, line, 3, "z"), (7, line, 3, "z"), (8, line + "\nown line of eight", 4, None)]
+    names = "doc_id long, text string, _doc int, key string"
+    out = L.line_dedup(spark.createDataFrame(rows, names))
+    assert out.columns == ["doc_id", "text", "_doc", "key", "n_lines", "n_dropped"]
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(
+        map(str, [(None, "", 1, "x", 1, 1), (None, "", 2, "y", 1, 1), (7, line, 3, "z", 1, 0), (7, line, 3, "z", 1, 0), (8, "own line of eight", 4, None, 2, 1)])
+    )
+    clash = spark.createDataFrame([(1, line, "a", "b")], "doc_id long, text string, n_lines string, _lines string")
+    assert [tuple(r) for r in L.line_dedup(clash).collect()] == [(1, line, "b", 1, 0)]
+
+
+def test_empty_table_and_long_text(spark):
+    assert L.line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    text = "\n".join(f"line number {i % 50_000}" for i in range(100_000))
+    out = run(spark, [(1, text), (2, text)])
+    assert out[1] == (text, 100_000, 0) and out[2] == ("", 100_000, 100_000)
+
+
+def test_levels_hold_each_key_once(spark):
+    store = L.RunStore(L.Workspace(spark, "test-runs"), fanout=2)
+    for b in range(7):
+        keys = spark.range(b * 10, b * 10 + 15).select(F.col("id").alias("h1"), F.col("id").alias("h2"), F.lit(b).cast("long").alias("owner"))
+        found = store.owners(keys)
+        store.add(found.where("old is null").drop("old"))
+    every = store.all()
+    assert every.count() == every.select("h1", "h2").distinct().count() == 75
+    assert len(store.runs()) <= 3  # 7 batches, merged by twos: levels 0, 1 and 2
+    assert {r.h1: r.owner for r in every.collect()}[12] == 0
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test data")
+def test_query_matches_sql_and_is_native(spark):
+    out = L.op1_line_dedup(spark, str(SF))
+    plan = out._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({L.SQL})").fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(want)

@@ -1,0 +1,118 @@
+"""Minimum bin slack: bitset choices against brute force, valid packings, exact tokens."""
+
+import itertools
+import random
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from palimpsest.llm import packing as P
+
+SF = Path("/root/testdata/sf0.001")
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+def ids_of(text):
+    # a special token's string in a text is not a special token
+    LIBRARY.encode_special_tokens = True
+    return LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 40), st.dictionaries(st.integers(1, 40), st.integers(1, 3), max_size=5))
+def test_fullest_is_the_fullest(room, counts):
+    got = P.fullest(room, sorted(counts, reverse=True), counts)
+    assert all(0 < k <= counts[n] for n, k in got.items())
+    sums = [sum(n * k for n, k in zip(counts, ks)) for ks in itertools.product(*[range(c + 1) for c in counts.values()])]
+    assert sum(n * k for n, k in got.items()) == max(s for s in sums if s <= room)
+
+
+def test_plan_uses_each_piece_once():
+    rng = random.Random(4)
+    for _ in range(50):
+        histogram = Counter(rng.choices(range(1, 101), k=rng.randrange(1, 400)))
+        plan = P.plan(dict(histogram), 100)
+        used = Counter()
+        for pattern, bins in plan:
+            assert bins > 0 and sum(n * k for n, k in pattern.items()) <= 100
+            for n, k in pattern.items():
+                used[n] += k * bins
+        assert used == histogram
+        bins, least = sum(b for _, b in plan), -(-sum(n * c for n, c in histogram.items()) // 100)
+        big = sum(c for n, c in histogram.items() if n > 50)
+        assert bins <= max(least, big) * 1.1 + 2
+    assert P.plan({}) == []
+    with pytest.raises(ValueError):
+        P.plan({2000: 1})
+
+
+def check_packing(rows, window=1024):
+    """Places of pieces: gapless from 0, at most the window long."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= window
+    return len(by)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=120))
+def test_tokens_equal_the_library(text):
+    assert P.tokenizer(PATH).encode(text) == b"".join(i.to_bytes(4, "little") for i in ids_of(text))
+
+
+@pytest.mark.parametrize("text", ["", " ", "\n\n", "<|endoftext|>", "<s>a</s>", "it's  the\tthing x", "🙂" * 20, "a" * 5000, " " * 3000, "1234567890" * 50])
+def test_odd_texts(text):
+    assert P.tokenizer(PATH).encode(text) == b"".join(i.to_bytes(4, "little") for i in ids_of(text))
+
+
+def test_rows(spark):
+    rows = [(1, None, "x"), (2, "", "y"), (None, "some words", "z"), (3, "twice", "w"), (3, "twice", "w"), (4, "many different words " * 30_000, None)]
+    out = P.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, length string")).collect()
+    check_packing(out)
+    got = defaultdict(list)
+    for r in out:
+        got[r.doc_id].append(r)
+    for key, text in {1: "", 2: "", None: "some words", 4: rows[-1][1]}.items():
+        ids = [*ids_of(text), 2]
+        pieces = sorted(got[key], key=lambda r: r.piece)
+        assert [p.piece for p in pieces] == list(range(len(pieces))) and sum(p.length for p in pieces) == len(ids)
+        assert all(p.length == 1024 for p in pieces[1:])
+        for p in pieces:
+            part = ids[p.start : p.start + p.length]
+            assert p.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part))
+    assert len(got[3]) == 2
+    assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_length_in_many_shares(spark):
+    parts = spark.range(5000).selectExpr("id", "0 as piece", "0L as start", "cast(if(id % 3 = 0, 100, id % 900 + 1) as long) as length", "id as ids_crc32")
+    out = P.best_fit_pack(parts, salts=16)
+    rows = out.collect()
+    n = check_packing(rows)
+    assert len(rows) == 5000 and n <= -(-sum(r.length for r in rows) // 1024) + 2
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test data")
+def test_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    rows = P.op8_best_fit_packing(spark, str(SF)).collect()
+    n = check_packing(rows)
+    tokens = {d.doc_id: len(ids_of(d.text or "")) + 1 for d in docs}
+    got = Counter()
+    for r in rows:
+        got[r.doc_id] += r.length
+    assert got == tokens
+    assert n <= -(-sum(tokens.values()) // 1024) + 1

@@ -1,0 +1,99 @@
+"""Rule statistics against plain counts, the forest, and how its verdicts agree with labels."""
+
+import random
+import re
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+from palimpsest.llm import quality as Q
+
+SF = Path("/root/testdata/sf0.01")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text):
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    twice = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(twice)
+
+
+def test_statistics_equal_plain_counts():
+    rng = random.Random(2)
+    cases = ["", " \t\n", "a", "a b", "a b c", "a a a a", "a b c a b c", "x\nx\n\n x\nx", "  is a word too", "été # <b> $5 & |", "a b\x0bc a b c"]
+    cases += [" ".join(rng.choices(["a", "b", "c", "é", "#"], k=rng.randrange(40))).replace(" c", "\nc") for _ in range(150)]
+    for t in cases:
+        assert Q.statistics(t)[0] == brute(t), t
+
+
+def test_base_rules():
+    assert Q.base_failed((49, 0, 0, 0, 0)) and not Q.base_failed((50, 0, 0, 0, 0))
+    assert Q.base_failed((100, 0, 0, 0, 51)) and not Q.base_failed((100, 0, 0, 0, 50))
+
+
+def test_forest_isolates_what_is_outside():
+    rng = np.random.default_rng(0)
+    good = rng.normal(0, 1, (400, 4))
+    bad = rng.normal(0, 1, (40, 4)) + np.array([9, 0, 0, 0])
+    forest = Q.IsolationForest.fit(good, np.concatenate([good, bad]))
+    forest.calibrate(good, bad)
+    assert (forest.score(bad) > forest.threshold).mean() == 1 and (forest.score(good) > forest.threshold).mean() < 0.02
+    again = Q.IsolationForest.fit(good, np.concatenate([good, bad]))
+    assert (again.score(good) == forest.score(good)).all()
+    # the path length of a row equals a walk down each tree
+    x = good[0]
+    total = 0.0
+    for feature, split, left, right, path in forest.trees:
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if x[feature[at]] <= split[at] else right[at]
+        total += path[at]
+    assert forest.score(good[:1])[0] == pytest.approx(2 ** (-total / len(forest.trees) / forest.norm))
+
+
+def test_cases_of_rows(spark):
+    clean = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, None, 1), (2, "", 2), (None, clean, 3), (4, clean, 4), (4, clean, 4), (5, "again and " * 100_000, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = Q.judge_quality(docs, none).collect()
+    assert sorted(r.n_words for r in out) == [1, 2, 3, 4, 4, 5]  # the column of the input stays
+    kept = {r.n_words: r._quality.kept for r in out}
+    assert kept == {1: False, 2: False, 3: True, 4: True, 5: False}
+    assert next(r for r in out if r.n_words == 5)._quality.n_repeat_words == 200_000
+    assert Q.judge_quality(spark.createDataFrame([], "doc_id long, text string"), none).collect() == []
+    only_good = spark.createDataFrame([(4, 1, 0), (None, 0, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
+    assert Q.fit_forest(docs, only_good) is None
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test data")
+def test_verdicts_agree_with_labels_not_fitted_on(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    forest = Q.fit_forest(docs, labels.where("doc_id % 2 = 0"))
+    rows = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    right, good = [], []
+    for r in rows:
+        counts, x = Q.statistics(r.text or "")
+        if Q.base_failed(counts):
+            continue
+        kept = forest.score(np.array([x]))[0] <= forest.threshold
+        right.append(kept == (r.quality == 1))
+        if r.quality == 1:
+            good.append(kept)
+    assert len(right) > 50 and np.mean(right) >= 0.9 and np.mean(good) >= 0.95
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test data")
+def test_query_counts(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = Q.op4_quality_rules(spark, str(SF)).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        if len(docs[r.doc_id]) < 5000:
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(docs[r.doc_id])
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
