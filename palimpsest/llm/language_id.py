@@ -138,7 +138,9 @@ class LanguageModel:
             return UNKNOWN, 0.0
         margin = self.bias.copy()
         for g in found:
-            margin += self.weights.take(g, axis=0).sum(0, dtype=np.float64) / len(g)
+            # a long text's n-grams in runs, so that memory does not grow with it
+            for i in range(0, len(g), 1 << 16):
+                margin += self.weights.take(g[i : i + (1 << 16)], axis=0).sum(0, dtype=np.float64) / len(g)
         p = 1 / (1 + np.exp(np.clip(self.platt[:, 0] * margin + self.platt[:, 1], -500, 500)))
         names = list(self.families)
         sure = np.array([p[self.column[f,]] if (f,) in self.column else 1.0 for f in names])
@@ -223,7 +225,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Only rows that are not held out and have a language teach the model; predictions use
     the whole text alone. Null texts and texts without letters are ``und`` with score 0, as is
-    everything if no row has a language. Rows and other columns pass unchanged.
+    everything if no row has a language. Rows and other columns pass unchanged; a column named
+    ``_language`` is replaced.
     """
     model = fit_languages(docs.where(~held_out(id_col)), id_col, text_col)
     return docs.withColumn("_language", language_column(model)(F.col(text_col).cast("string")))
@@ -231,8 +234,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents in a language that was learned, predicted with some confidence."""
-    found = identify(docs)
-    return found.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= MIN_SCORE)).select(*docs.columns)
+    found = language_column(fit_languages(docs.where(~held_out())))(F.col("text").cast("string"))
+    return docs.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= MIN_SCORE))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,7 +156,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", rules: list[tuple[str,
     """``docs`` with a struct column ``_licences``: n_known and matches (licence, rule, start, end).
 
     Offsets are code points of the whole text. Null and empty texts have no match. Rows and
-    other columns pass unchanged.
+    other columns pass unchanged; a column named ``_licences`` is replaced.
     """
     known = SentenceRules(rules, gap)
 

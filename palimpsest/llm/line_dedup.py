@@ -7,7 +7,7 @@ distinct keys, merge-anti-joined with the runs, and the keys that are new become
 run of level 0. When a level has ``fanout`` runs they are merged into one run of the next
 level, so a key is rewritten O(log batches) times and a batch meets O(log batches) runs.
 
-A batch is a range of documents of about ``batch_rows`` rows. The ranges are disjoint and
+A batch is a range of documents; the ranges hold about equal numbers of them, are disjoint and
 ascend, so an owner in an earlier run always precedes the batch's own documents, and the
 result equals that of one global minimum.
 """
@@ -111,15 +111,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = reduce(DataFrame.union, drops).groupBy("_doc", "_row").agg(F.collect_set("pos").alias("_gone"))
     gone = space.write(gone, "gone")
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    split = docs.select(*rest, doc.alias("_doc"), F.xxhash64(whole_text(F.col(text_col))).alias("_row"), F.split(whole_text(F.col(text_col)), "\n", -1).alias("_lines"))
+    # in a struct, so that no name of theirs meets one of ours
+    others = F.struct(*[F.col(f"`{c}`") for c in rest if c != text_col]).alias("_rest")
+    split = docs.select(others, doc.alias("_doc"), F.xxhash64(whole_text(F.col(text_col))).alias("_row"), F.split(whole_text(F.col(text_col)), "\n", -1).alias("_lines"))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    out = split.drop(text_col).join(gone, ["_doc", "_row"], "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_except(every, F.col("_gone"))))
+    out = split.join(gone, ["_doc", "_row"], "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_except(every, F.col("_gone"))))
     text = F.when(F.col("_kept").isNull(), F.array_join("_lines", "\n")).otherwise(
         F.array_join(F.transform("_kept", lambda i: F.element_at("_lines", i + 1)), "\n")
     )
-    made = {text_col: text}
     return out.select(
-        *[made.get(c, F.col(f"`{c}`")).alias(c) for c in rest],
+        *[(text if c == text_col else F.col(f"_rest.`{c}`")).alias(c) for c in rest],
         F.size("_lines").cast("long").alias("n_lines"),
         F.when(F.col("_kept").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
     )

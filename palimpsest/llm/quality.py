@@ -184,7 +184,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text") ->
     """``docs`` with a struct column ``_quality`` (see ``quality_column``).
 
     A null or wordless text has zero counts and fails the base rules. Without labelled rows of
-    both kinds only the base rules decide. Rows, ids and other columns pass unchanged.
+    both kinds only the base rules decide. Rows, ids and other columns pass unchanged; a
+    column named ``_quality`` is replaced.
     """
     forest = fit_forest(docs, labels, text_col=text_col)
     return docs.withColumn("_quality", quality_column(forest)(F.col(text_col).cast("string")))
@@ -192,8 +193,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text") ->
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep."""
-    judged = judge_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("_quality.kept").select(*docs.columns)
+    forest = fit_forest(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality_column(forest)(F.col("text").cast("string"))["kept"])
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,7 +205,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     come back. Other columns are left out. An empty table gives an empty table.
     """
     space = Workspace(docs.sparkSession, "simhash")
-    rows = space.write(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp")), "rows")
+    rows = docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp"))
+    return fingerprint_components(space, rows, max_bits, group).withColumnRenamed("id", id_col)
+
+
+def fingerprint_components(space: Workspace, rows: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
+    """(id, fp, component_id) of rows (id, fp); see ``simhash_components``."""
+    rows = space.write(rows, "rows")
     classes = space.write(rows.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     dealt = _deal(space, classes.select("fp"), max_bits, group)
     links = near_links(dealt.repartition("key").sortWithinPartitions("key"), max_bits)
@@ -214,11 +220,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = space.write(linked.groupBy("root").agg(F.min("least").alias("component")), "least")
     linked = space.write(roots.join(least, "root").select(F.col("node").alias("fp"), "component"), "components")
     known = space.write(classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "known")
-    return rows.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(known, "fp").select("id", "fp", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the least id."""
+    """Pipeline stage: of each group of near-duplicates the document with the least id.
+
+    Rows that share that id all stay, as do rows without an id.
+    """
     found = simhash_components(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -73,7 +73,7 @@ def test_equals_brute_force(spark):
             assert offset == at
             at += length
         assert at <= 1024
-    assert len(places) <= -(-sum(tokens.values()) // 1024) + 1
+    assert len(places) <= -(-sum(tokens.values()) // 1024) * 1.02
 
 
 def test_stages_take_odd_rows(spark, tmp_path):

@@ -48,12 +48,20 @@ def test_decodes_any_ids(ids):
     assert ENCODER.decode(ids) == LIBRARY.decode(ids)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("▁aeinorst.,\n"), st.characters(exclude_categories=["Cs"])), min_size=4, max_size=7), min_size=30, max_size=60))
+def test_agendas_side_by_side(chunks):
+    words = chunks + ["▁then", "▁▁▁▁▁", "☃☃☃☃☃", "aaaaa"] * 8
+    want = [b"".join(i.to_bytes(4, "little") for i in ENCODER.merge(c)) for c in words]
+    assert ENCODER.merge_all(words) == want
+
+
 def test_small_cache_forgets_and_stays_right():
     enc = S.AgendaEncoder(PATH, cache_chunks=2)
     for text in CASES * 2:
         (raw,) = enc.encode_batch([text])
         assert raw == b"".join(i.to_bytes(4, "little") for i in expected(text))
-        assert len(enc.known) <= 3 + len(set(enc.cut(text)))
+        assert len(enc.known) <= 2 + 3 * len(set(enc.cut(text)))  # chunks, and the parts of some
 
 
 def test_the_check_notices_a_difference():
