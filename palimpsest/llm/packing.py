@@ -23,6 +23,8 @@ from palimpsest.llm.common import Workspace, documents, strings
 
 WINDOW = 1024
 END_ID = 2
+#: Empty places of a bin that plans are tried with.
+SLACKS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Shares in which the pieces of one length are ranked.
 SALTS = 256
 
@@ -114,11 +116,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def fullest(room: int, lengths: list[int], counts: dict[int, int]) -> dict[int, int]:
+def fullest(room: int, lengths: list[int], counts: dict[int, int], slack: int = 0) -> dict[int, int]:
     """Lengths, no more of each than there are, whose sum is the largest that ``room`` holds.
 
     Bit s of a bitset tells whether some choice of the lengths so far sums to s. Long pieces
     come first, so that among the fullest choices the short ones are kept for later bins.
+    With ``slack``, shorter pieces are left out once a choice comes within it.
     """
     mask = (1 << room + 1) - 1
     seen, stages = 1, []
@@ -131,7 +134,7 @@ def fullest(room: int, lengths: list[int], counts: dict[int, int]) -> dict[int,
             seen |= seen << take * n & mask
             copies, step = copies - take, step * 2
         stages.append((n, before))
-        if seen >> room & 1:
+        if seen >> max(0, room - slack):
             break
     left, chosen = seen.bit_length() - 1, {}
     for n, before in reversed(stages):
@@ -143,17 +146,33 @@ def fullest(room: int, lengths: list[int], counts: dict[int, int]) -> dict[int,
     return chosen
 
 
-def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length -> copies in one bin) and how many bins each fills, for all pieces."""
-    counts = {n: c for n, c in histogram.items() if c}
-    if any(not 0 < n <= window for n in counts):
+def plan(histogram: dict[int, int], window: int = WINDOW, slacks: tuple[int, ...] = SLACKS) -> list[tuple[dict[int, int], int]]:
+    """Patterns (length -> copies in one bin) and how many bins each fills, for all pieces.
+
+    Filling the first bins to the brim may use up the short pieces that the last ones need, so
+    plans are made for several slacks that a bin may have; the one with the fewest bins wins.
+    """
+    if any(not 0 < n <= window for n, c in histogram.items() if c):
         raise ValueError(f"lengths must lie between 1 and {window}")
+    least = -(-sum(n * c for n, c in histogram.items()) // window)
+    best, fewest = [], None
+    for slack in slacks:
+        made = _plan({n: c for n, c in histogram.items() if c}, window, slack)
+        bins = sum(b for _, b in made)
+        if fewest is None or bins < fewest:
+            best, fewest = made, bins
+        if fewest == least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], window: int, slack: int) -> list[tuple[dict[int, int], int]]:
     out = []
     while counts:
         lengths = sorted(counts, reverse=True)
         top = lengths[0]
         counts[top] -= 1
-        pattern = fullest(window - top, lengths, counts)
+        pattern = fullest(window - top, lengths, counts, slack)
         counts[top] += 1
         pattern[top] = pattern.get(top, 0) + 1
         bins = min(counts[n] // k for n, k in pattern.items())
