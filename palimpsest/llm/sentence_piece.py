@@ -3,8 +3,9 @@
 A chunk of text starts as single characters. An agenda holds every adjacent pair whose
 concatenation is a piece, the best score first and the leftmost among equals; the best pair
 is merged and its new neighbours enter the agenda, until it is empty. The agenda of a long
-chunk is a heap; that of a short one is a list, whose least number is quicker found.
-Characters that are no piece become the byte pieces of their UTF-8 form.
+chunk is a heap; those of all new chunks of a length are the rows of an array, of which each
+round takes every row's best pair. Characters that are no piece become the byte pieces of
+their UTF-8 form.
 
 No merge crosses the edge between a character and a word mark, or touches a character that
 only stands alone in the vocabulary (a line feed, say), as no piece spans such an edge. So a
@@ -21,6 +22,7 @@ import re
 import struct
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +31,62 @@ from palimpsest.llm.common import Memo, documents, strings
 
 MARK = "▁"
 #: Distinct chunks that a worker remembers.
-CACHE_CHUNKS = 300_000
-#: Characters of a chunk whose agenda is a list.
-SHORT = 48
-_SHIFT, _NONE = 20, 1 << 60
+CACHE_CHUNKS = 450_000
+#: Longest chunk, and fewest chunks of a length, whose agendas are rows of an array.
+SHORT, FEW = 48, 8
+#: Texts that are cut before their new chunks are encoded at once, and their characters.
+GROUP, GROUP_CHARS = 256, 2_000_000
+_SHIFT, _SLOTS, _NONE, _GONE = 20, 20, 1 << 60, -2
+
+
+class PairTable:
+    """For two symbols side by side, the place of the piece they make in the order of scores, and
+    its id. Characters of pieces that are no piece have numbers after all ids, others -1."""
+
+    def __init__(self, vocab: dict[str, tuple[float, int]], size: int):
+        chars = sorted({c for p in vocab for c in p})
+        ids = {c: vocab[c][1] if c in vocab else size + i for i, c in enumerate(chars)} | {p: i for p, (_, i) in vocab.items()}
+        self.size = size
+        self.number = np.full(0x110000, -1, np.int64)
+        for c in chars:
+            self.number[ord(c)] = ids[c]
+        place = {score: i for i, score in enumerate(sorted({score for score, _ in vocab.values()}))}
+        rows = [(ids[p[:k]] << _SHIFT | ids[p[k:]], place[score], i) for p, (score, i) in vocab.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        self.fits = size + len(chars) < 1 << _SHIFT and len(rows) < 1 << _SLOTS - 2
+        if not self.fits:
+            return
+        keys, self.places, self.ids = np.array(rows, np.int64).reshape(-1, 3).T
+        # open addressing: a key lies at most `probes` - 1 slots after its own
+        self.keys, self.row, self.probes = np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS, np.int32), 1
+        for i, (key, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist())):
+            step = 0
+            while self.keys[(slot + step) & (1 << _SLOTS) - 1] >= 0:
+                step += 1
+            self.keys[(slot + step) & (1 << _SLOTS) - 1], self.row[(slot + step) & (1 << _SLOTS) - 1] = key, i
+            self.probes = max(self.probes, step + 1)
+
+    def __bool__(self) -> bool:
+        return self.fits
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, id) of each pair; a pair that makes no piece comes after all others."""
+        key = np.where((a >= 0) & (b >= 0), a << _SHIFT | b, -3)
+        slot = self._slot(key)
+        row = np.full(key.shape, -1, np.int32)
+        for step in range(self.probes):
+            at = (slot + step) & (1 << _SLOTS) - 1
+            hit = self.keys[at] == key
+            row[hit] = self.row[at[hit]]
+        return np.where(row >= 0, self.places[row], _NONE), self.ids[row]
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class AgendaEncoder:
@@ -53,57 +107,17 @@ class AgendaEncoder:
         #: What each id adds to a decoded text; control pieces add nothing.
         self.surface = [byte_of.get(i) or (b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ").encode()) for i in range(size)]
         joined = {c for p in self.vocab if len(p) > 1 for c in p}
-        #: Numbers of the characters that pieces consist of; those that are no piece come after all.
-        self.char = {c: self.vocab[c][1] if c in self.vocab else size + i for i, c in enumerate(sorted(joined))}
-        self.char |= {p: i for p, (_, i) in self.vocab.items() if len(p) == 1}
-        self.size = size
-        self.pairs = self._pairs()
+        #: Characters that stand side by side in some piece.
+        self.joins = {p[i : i + 2] for p in self.vocab for i in range(len(p) - 1)}
+        self.pairs = PairTable(self.vocab, size)
         spans = any(MARK in p.lstrip(MARK) for p in self.vocab)
         #: Whether texts can be cut before word marks and at line feeds.
         self.cuts = not spans and "\n" not in joined
         self.known = Memo(cache_chunks)
         self.chunks = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
-    def _pairs(self) -> tuple[dict[int, int], dict[int, int]] | None:
-        """From two symbols' numbers side by side to the place of the piece they make in the
-        order of scores, and to its id; None if numbers are too large for that."""
-        if self.size + len(self.char) >> _SHIFT:
-            return None
-        place = {score: i for i, score in enumerate(sorted({score for score, _ in self.vocab.values()}))}
-
-        def number(s: str) -> int | None:
-            return self.char.get(s) if len(s) == 1 else self.vocab[s][1] if s in self.vocab else None
-
-        places, ids = {}, {}
-        for p, (score, i) in self.vocab.items():
-            for k in range(1, len(p)):
-                a, b = number(p[:k]), number(p[k:])
-                if a is not None and b is not None:
-                    places[a << _SHIFT | b], ids[a << _SHIFT | b] = place[score], i
-        return places, ids
-
     def merge(self, chunk: str) -> list[int]:
         """The ids of a chunk, in which blanks are already word marks, by the agenda."""
-        if self.pairs is None or len(chunk) > SHORT:
-            return self._merge_long(chunk)
-        number, pair, ids = self.char.get, self.pairs[0].get, self.pairs[1]
-        # other characters get negative numbers, which no pair has
-        sym = [number(c, ~ord(c)) for c in chunk]
-        agenda = [pair(a << _SHIFT | b, _NONE) for a, b in zip(sym, sym[1:])]
-        while agenda and (best := min(agenda)) != _NONE:
-            i = agenda.index(best)  # the leftmost
-            new = sym[i] = ids[sym[i] << _SHIFT | sym[i + 1]]
-            del sym[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = pair(new << _SHIFT | sym[i + 1], _NONE)
-            if i:
-                agenda[i - 1] = pair(sym[i - 1] << _SHIFT | new, _NONE)
-        if sym and (min(sym) < 0 or max(sym) >= self.size):
-            names = {v: c for c, v in self.char.items() if v >= self.size}
-            return [x for i in sym for x in ([i] if 0 <= i < self.size else [self.bytes[b] for b in (chr(~i) if i < 0 else names[i]).encode()])]
-        return sym
-
-    def _merge_long(self, chunk: str) -> list[int]:
         vocab, sym = self.vocab, list(chunk)
         n = len(sym)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -134,6 +148,59 @@ class AgendaEncoder:
                 ids.extend([e[1]] if e else [self.bytes[b] for b in s.encode()])
         return ids
 
+    def merge_all(self, chunks: list[str]) -> list[bytes]:
+        """The packed ids of each chunk."""
+        out: list[bytes] = [b""] * len(chunks)
+        by: dict[int, list[int]] = {}
+        for i, c in enumerate(chunks):
+            by.setdefault(len(c), []).append(i)
+        for n, at in by.items():
+            if n > SHORT or len(at) < FEW or not self.pairs:
+                for i in at:
+                    out[i] = _packed(self.merge(chunks[i]))
+                continue
+            lot = 1_000_000 // n
+            for k in range(0, len(at), lot):
+                for i, ids in zip(at[k : k + lot], self._merge_equal([chunks[i] for i in at[k : k + lot]])):
+                    out[i] = ids
+        return out
+
+    def _merge_equal(self, chunks: list[str]) -> list[bytes]:
+        """``merge`` of chunks of one length, a round of all their agendas at a time."""
+        n, find = len(chunks[0]), self.pairs.find
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+        sym = self.pairs.number[codes]
+        place, made = np.full(sym.shape, _NONE), np.zeros_like(sym)
+        place[:, :-1], made[:, :-1] = find(sym[:, :-1], sym[:, 1:])
+        right, left = np.tile(np.arange(1, n + 1), (len(sym), 1)), np.tile(np.arange(-1, n - 1), (len(sym), 1))
+        rows = np.arange(len(sym))
+        while True:
+            i = place[rows].argmin(1)  # the leftmost of the best
+            live = place[rows, i] < _NONE
+            rows, i = rows[live], i[live]
+            if not len(rows):
+                break
+            j = right[rows, i]
+            k = right[rows, j]
+            sym[rows, i], sym[rows, j] = made[rows, i], _GONE
+            place[rows, i] = place[rows, j] = _NONE
+            right[rows, i] = k
+            some = k < n
+            r, a, b = rows[some], i[some], k[some]
+            left[r, b] = a
+            place[r, a], made[r, a] = find(sym[r, a], sym[r, b])
+            h = left[rows, i]
+            some = h >= 0
+            r, a, b = rows[some], h[some], i[some]
+            place[r, a], made[r, a] = find(sym[r, a], sym[r, b])
+        stays = sym != _GONE
+        flat = sym[stays].astype("<u4").tobytes()
+        ends = (4 * stays.sum(1).cumsum()).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for w in np.flatnonzero((stays & ((sym < 0) | (sym >= self.pairs.size))).any(1)).tolist():
+            out[w] = _packed(self.merge(chunks[w]))  # characters that are no piece
+        return out
+
     def cut(self, text: str) -> list[str]:
         """Chunks that no merge connects; their ids in a row are the text's ids."""
         if not text:
@@ -147,31 +214,41 @@ class AgendaEncoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Encodes chunks by the agenda into ``known`` and checks them against the library."""
-        made = [self.merge(c) for c in chunks]
+        # no merge crosses two characters that no piece joins, so that a last character of that
+        # kind (a full stop, say) leaves the ids of the rest
+        parts = [(c[:-1], c[-1]) if len(c) > 1 and c[-2:] not in self.joins else (c, "") for c in chunks]
+        new = self.known.lacks([x for part in parts for x in part])
+        self.known.update(zip(new, self.merge_all(new)))
+        made = [self.known[a] + self.known[b] for a, b in parts]
         if self.check:
             # the library puts a mark before each text; a text that has none is given after a line feed
             begins = [c.startswith(MARK) and len(c) > 1 for c in chunks]
             expected = self.library.encode([c[1:] if b else "\n" + c for c, b in zip(chunks, begins)], num_threads=1)
-            lead = self.library.encode("\n")
+            lead = len(self.library.encode("\n"))
             for c, b, ids, e in zip(chunks, begins, made, expected):
-                if ids != (e if b else e[len(lead):]):
+                if ids != _packed(e if b else e[lead:]):
                     raise ValueError(f"the agenda's ids differ from the library's for {c[:80]!r}")
-        for c, ids in zip(chunks, made):
-            self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        self.known.update(zip(chunks, made))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, with begin and end."""
         begin, end = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little")
-        out = []
-        for text in texts:
-            chunks = self.cut(text)
-            parts = list(map(self.known.get, chunks))
-            if None in parts:
-                at = [i for i, p in enumerate(parts) if p is None]
-                self.learn(self.known.lacks([chunks[i] for i in at]))
-                for i in at:
-                    parts[i] = self.known[chunks[i]]
-            out.append(begin + b"".join(parts) + end)
+        out: list[bytes] = []
+        while len(out) < len(texts):
+            cuts, size = [], 0
+            for text in texts[len(out) : len(out) + GROUP]:
+                cuts.append(self.cut(text))
+                size += len(text)
+                if size > GROUP_CHARS:
+                    break
+            found = [list(map(self.known.get, chunks)) for chunks in cuts]
+            missing = [c for chunks, parts in zip(cuts, found) if None in parts for c, p in zip(chunks, parts) if p is None]
+            if new := self.known.lacks(missing):
+                self.learn(new)
+            for chunks, parts in zip(cuts, found):
+                if None in parts:
+                    parts = [self.known[c] if p is None else p for c, p in zip(chunks, parts)]
+                out.append(begin + b"".join(parts) + end)
             self.known.turn()
         return out
 
@@ -230,8 +307,6 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
     repeat; each row gives a row. Other columns are left out. One row's text is in memory at
     a time besides its Arrow batch.
     """
-    import numpy as np
-
     def run(batches):
         enc = encoder(model_path, check)
         for batch in batches:
