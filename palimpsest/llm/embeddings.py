@@ -130,7 +130,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     centroids, base = {}, 0
     k = max(1, min(MAX_CELLS, math.ceil(facts[0] / cell)))
-    sample = [unit(r.v) for r in classes.orderBy(F.xxhash64("key"), "key").limit(max_sample).select("v").collect()]
+    sample = [unit(v) for v in classes.orderBy(F.xxhash64("key"), "key").limit(max_sample).select("v").toArrow()["v"].to_numpy()]
     for size in sorted(facts[2]):
         of = np.array([v for v in sample if len(v) == size])
         if len(of):

@@ -27,6 +27,8 @@ from palimpsest.llm.common import documents, strings
 #: Expected number of labelled texts of a language that the machines are fitted on.
 SAMPLE, MAX_LANGUAGES = 500, 128
 ORDERS, BITS = 4, 14
+#: Frequencies are multiplied by this for the machines.
+SCALE = 20.0
 UNKNOWN = "und"
 #: The pipeline drops documents whose prediction is less sure than this.
 MIN_SCORE = 0.2
@@ -159,14 +161,14 @@ class LanguageModel:
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel:
-    """A model from (language, feature ids, values) rows."""
+    """A model from (language, feature ids, values times ``SCALE``) rows."""
     size = ORDERS << BITS
     langs = sorted({r[0] for r in rows})
     families: dict[str, list[str]] = {}
     for x in langs:
         families.setdefault(family_of(x), []).append(x)
     tasks: list[tuple[tuple[str, ...], list, np.ndarray]] = []
-    data = [(r[1], r[2] * 20.0) for r in rows]
+    data = [r[1:] for r in rows]
     if len(families) > 1:
         for f in families:
             tasks.append(((f,), data, np.array([1 if family_of(r[0]) == f else -1 for r in rows])))
@@ -176,7 +178,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel:
             tasks.append(((x, y), [data[i] for i in at], np.array([1 if rows[i][0] == x else -1 for i in at])))
     made = [_svm(d, y, size) for _, d, y in tasks]
     n = len(made)
-    weights = np.stack([m[0] * 20.0 for m in made], 1).astype(np.float32) if n else np.zeros((size, 0), np.float32)
+    weights = np.stack([m[0] * SCALE for m in made], 1).astype(np.float32) if n else np.zeros((size, 0), np.float32)
     return LanguageModel(families, {k: i for i, (k, _, _) in enumerate(tasks)}, weights, np.array([m[1] for m in made]).reshape(n), np.array([m[2:] for m in made]).reshape(n, 2))
 
 
@@ -196,11 +198,12 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             found = [sparse(t) for t in strings(batch.column(1))]
             keep = [i for i, x in enumerate(found) if x is not None]
-            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i][0] for i in keep], pa.list_(pa.int32())), pa.array([found[i][1] for i in keep], pa.list_(pa.float64()))], names=["lang", "ids", "values"])
+            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i][0] for i in keep], pa.list_(pa.int32())), pa.array([(found[i][1] * SCALE).astype(np.float32) for i in keep], pa.list_(pa.float32()))], names=["lang", "ids", "values"])
 
     picked = labelled.where(place < share).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = picked.mapInArrow(run, "lang string, ids array<int>, values array<double>").toArrow()
+    rows = picked.mapInArrow(run, "lang string, ids array<int>, values array<float>").toArrow()
     out = [(lang, np.array(i, np.int32), np.array(v)) for lang, i, v in zip(rows["lang"].to_pylist(), rows["ids"].to_numpy(), rows["values"].to_numpy())]
+    del rows
     return fit(sorted(out, key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1].tobytes()))))
 
 
