@@ -6,74 +6,101 @@ longest one left; a subset-sum dynamic program over bitsets of reachable sums th
 fullest feasible combination of the lengths that are left (Gupta and Ho's minimum bin slack).
 The combination is taken out as often as the counts allow before the next is sought, so the
 plan has a few thousand *patterns*, each with a number of bins. Pieces are ranked within
-their length in the cluster (in ``SALTS`` shares, as one length may have a third of all
-rows), and the rank determines the pattern, the bin and the place in it.
+their length in the cluster (in shares of about ``SHARE`` pieces, however many a length has), and
+the rank determines the pattern, the bin and the place in it.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
+import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Workspace, documents, strings
+from palimpsest.llm.common import Memo, Workspace, documents, strings
 
 WINDOW = 1024
 END_ID = 2
 #: Empty places of a bin that plans are tried with.
 SLACKS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
-#: Shares in which the pieces of one length are ranked.
-SALTS = 256
+#: Pieces of one length that are ranked together; a length with more is dealt into shares.
+SHARE = 100_000
+#: Distinct chunks that a worker remembers, and texts that are cut before their new chunks are encoded.
+CACHE_CHUNKS, GROUP = 300_000, 256
 
 
 class ByteTokenizer:
-    """Ids of whole texts with the byte-level BPE file of the tokenizers library.
+    """Ids of whole texts as the tokenizers library gives them for a tokenizer file.
 
-    The file's merges rank its pieces; where those ranks are the ids themselves, tiktoken's
-    core encodes with the very same vocabulary at several times the speed, and the library
-    encodes what that core cannot. Special tokens' strings in a text are ordinary text.
+    All ids come from the library. Where the file splits texts by the byte-level pattern and
+    nothing else looks across a blank, a text is cut before its lone blanks, and each distinct
+    chunk is encoded by the library once and remembered (up to a bound, then forgotten). Other
+    files' texts, and texts with blanks that the pattern may join, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already run side by side
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.core = _ranked_core(path)
+        self.cuts = _cuts_at_blanks(self.library)
+        #: Strings that the library takes out before it splits, as if a text ended there.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known = Memo(cache_chunks)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), GROUP):
+            group = texts[i : i + GROUP]
+            chunks = [_chunks(t) if self.cuts and not _JOINED.search(t) and not any(a in t for a in self.added) else None for t in group]
+            found = [None if c is None else list(map(self.known.get, c)) for c in chunks]
+            missing = [c for cs, fs in zip(chunks, found) if cs is not None and None in fs for c, f in zip(cs, fs) if f is None]
+            if new := self.known.lacks(missing):
+                self.known.update(zip(new, self._library(new)))
+            whole = iter(self._library([t for t, c in zip(group, chunks) if c is None]))
+            for cs, fs in zip(chunks, found):
+                if cs is None:
+                    out.append(next(whole))
+                else:
+                    out.append(b"".join([self.known[c] if f is None else f for c, f in zip(cs, fs)] if None in fs else fs))
+            self.known.turn()
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self.core is not None:
-            try:
-                return self.core.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
-            except (ValueError, RuntimeError):  # beyond the pattern engine's limits
-                pass
-        return b"".join([i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids])
+        return self.encode_batch([text])[0]
 
 
-#: The splitting pattern of byte-level BPE (public, of the GPT-2 vocabulary).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A blank between white space and either more of it or the end: the pattern may join them.
+_JOINED = re.compile(r"\s (?!\S)")
 
 
-def _ranked_core(path: str):
-    """tiktoken's encoder over the file's vocabulary, or None if its ids do not rank its merges."""
-    import tiktoken
+def _chunks(text: str) -> list[str]:
+    """The text, cut before each blank."""
+    return text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else re.split("(?= )", text)
 
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    # the printable stand-ins of the 256 bytes
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    stand = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    made = [vocab["".join(m)] for m in merges]
-    if any(a >= b for a, b in zip(made, made[1:])) or max(vocab[c] for c in stand) >= made[0]:
-        return None
-    known = set(made)
-    ranks = {bytes(map(stand.__getitem__, p)): i for p, i in vocab.items() if all(c in stand for c in p) and (len(p) == 1 or i in known)}
-    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+def _cuts_at_blanks(library) -> bool:
+    """Whether a cut before a blank that ``_JOINED`` doesn't match leaves the ids as they are."""
+    made = json.loads(library.to_str())
+    if made.get("normalizer") or made.get("truncation") or made.get("padding"):
+        return False
+    split = made.get("pre_tokenizer") or {}
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True):
+        return False
+    if made["model"].get("dropout") or made["model"].get("type") != "BPE":
+        return False
+    return True
 
 
 _tokenizers: dict[str, ByteTokenizer] = {}
@@ -100,8 +127,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         tok = tokenizer(tokenizer_path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                data = tok.encode(text) + end
+            for key, data in zip(batch.column(0).to_pylist(), tok.encode_batch(strings(batch.column(1)))):
+                data += end
                 n = len(data) // 4
                 start, size = 0, n - (n - 1) // window * window
                 for piece in range(-(-n // window)):
@@ -184,27 +211,30 @@ def _plan(counts: dict[int, int], window: int, slack: int) -> list[tuple[dict[in
     return out
 
 
-def best_fit_pack(parts: DataFrame, window: int = WINDOW, salts: int = SALTS) -> DataFrame:
+def best_fit_pack(parts: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """``parts`` (id, piece, length, ...) with ``sequence_id`` and ``offset``.
 
     Every piece gets a place in one sequence of at most ``window`` tokens; the places of a
     sequence follow each other without a gap from 0. Equal pieces are told apart by their
     ranks, so repeated rows get places of their own. An empty table gives an empty table.
     """
-    import numpy as np
-
     space = Workspace(parts.sparkSession, "packing")
-    dealt = parts.withColumn("_salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    share = Window.partitionBy("length", "_salt").orderBy("id", "piece", "ids_crc32")
+    parts = space.write(parts, "parts")
+    # at most `window` rows
+    histogram = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = {n: -(-c // share) for n, c in histogram.items()}
+    wide = max([0, *(n for n in salts)]) + 1
+    dealt_in = F.element_at(F.array(*[F.lit(salts.get(n, 1)) for n in range(wide)]), F.col("length").cast("int") + 1)
+    dealt = parts.withColumn("_salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), dealt_in.cast("long")).cast("int"))
+    ranked = Window.partitionBy("length", "_salt").orderBy("id", "piece", "ids_crc32")
     # written once: ranks among equal rows must not change when a task runs again
-    dealt = space.write(dealt.withColumn("_rank", F.row_number().over(share).cast("long") - 1), "dealt")
-    # bounded by window x salts rows
-    shares = dealt.groupBy("length", "_salt").count().collect()
-    histogram: dict[int, int] = {}
-    first = np.zeros((window + 1, salts), dtype=np.int64)
-    for length, salt, n in sorted(map(tuple, shares)):
-        first[length, salt] = histogram.get(length, 0)
-        histogram[length] = histogram.get(length, 0) + n
+    dealt = space.write(dealt.withColumn("_rank", F.row_number().over(ranked).cast("long") - 1), "dealt")
+    # one number for each share: at most `window` more than there are rows by `share`
+    shares = dealt.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()
+    first: dict[int, np.ndarray] = {n: np.zeros(k + 1, dtype=np.int64) for n, k in salts.items()}
+    for length, salt, n in shares:
+        first[length][salt + 1] = n
+    first = {n: sizes.cumsum() for n, sizes in first.items()}
     slots = []  # (length, first rank, copies in a bin, first sequence, offset)
     used: dict[int, int] = {}
     sequence = 0
@@ -225,10 +255,11 @@ def best_fit_pack(parts: DataFrame, window: int = WINDOW, salts: int = SALTS) ->
         table, begins, first = shared.value
         for batch in batches:
             length = batch.column("length").to_numpy()
-            rank = batch.column("_rank").to_numpy() + first[length, batch.column("_salt").to_numpy()]
+            salt, rank = batch.column("_salt").to_numpy(), batch.column("_rank").to_numpy().copy()
             row = np.empty(len(length), dtype=np.int64)
             for n in np.unique(length):
                 at = length == n
+                rank[at] += first[n][salt[at]]
                 a, b = begins[n], begins[n + 1]
                 row[at] = a + np.searchsorted(table[a:b, 1], rank[at], side="right") - 1
             of = rank - table[row, 1]

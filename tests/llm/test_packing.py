@@ -21,8 +21,7 @@ LIBRARY = Tokenizer.from_file(PATH)
 
 
 def ids_of(text):
-    # a special token's string in a text is not a special token
-    LIBRARY.encode_special_tokens = True
+    """By the library as it is loaded."""
     return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
@@ -82,16 +81,22 @@ def check_packing(rows, window=1024):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=120))
+@given(st.one_of(st.text(st.characters(exclude_categories=["Cs"]), max_size=120), st.lists(st.sampled_from(["a", "it's", " ", "  ", "\n", "\t", "\x00", "\x1c", "\xa0", "<|endoftext|>", "é", "7", "."]), max_size=30).map("".join)))
 def test_tokens_equal_the_library(text):
     assert P.tokenizer(PATH).encode(text) == b"".join(i.to_bytes(4, "little") for i in ids_of(text))
 
 
-@pytest.mark.parametrize("text", ["", " ", "\n\n", "<|endoftext|>", "<s>a</s>", "it's  the\tthing x", "🙂" * 20, "a" * 5000, " " * 3000, "1234567890" * 50])
+@pytest.mark.parametrize("text", ["", " ", "\n\n", "<|endoftext|>", "a <|endoftext|> b", "a\n <|endoftext|>", "a\n \nb", "<s>a</s>", "it's  the\tthing x", "🙂" * 20, "a" * 5000, " " * 3000, "1234567890" * 50])
 def test_odd_texts(text):
     assert P.tokenizer(PATH).encode(text) == b"".join(i.to_bytes(4, "little") for i in ids_of(text))
 
 
+def test_other_files_are_encoded_whole():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, texts = Tokenizer.from_file(path), ["Some  words, and\n \nmore", "x <|endoftext|> y", ""]
+    assert P.tokenizer(path).encode_batch(texts) == [b"".join(i.to_bytes(4, "little") for i in library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_rows(spark):
     rows = [(1, None, "x"), (2, "", "y"), (None, "some words", "z"), (3, "twice", "w"), (3, "twice", "w"), (4, "many different words " * 30_000, None)]
     out = P.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, length string")).collect()
@@ -113,7 +118,7 @@ def test_rows(spark):
 
 def test_one_length_in_many_shares(spark):
     parts = spark.range(5000).selectExpr("id", "0 as piece", "0L as start", "cast(if(id % 3 = 0, 100, id % 900 + 1) as long) as length", "id as ids_crc32")
-    out = P.best_fit_pack(parts, salts=16)
+    out = P.best_fit_pack(parts, share=100)
     rows = out.collect()
     n = check_packing(rows)
     assert len(rows) == 5000 and n <= -(-sum(r.length for r in rows) // 1024) + 2
