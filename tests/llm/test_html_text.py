@@ -1,6 +1,9 @@
 """Main text of hand-made pages, densities against a recursive version, and the cases of rows."""
 
 import math
+import random
+import time
+from html.parser import HTMLParser
 from pathlib import Path
 
 import pytest
@@ -83,6 +86,131 @@ def test_densities_follow_the_definition():
     assert H._target(nodes).tag == "div"
 
 
+def test_names_that_only_contain_a_word():
+    main = f'<article><h1>T</h1><p>{BODY}</p><div class="search-engines"><p>Engines.</p></div><section id="notice-of-appeal"><p>Appeal.</p></section><p>So <math><mi>x</mi></math></p></article>'
+    assert H.main_text(page(main, MENU, TAIL)) == f"T\n{BODY}\nEngines.\nAppeal.\nSo x"
+    assert H.main_text(f'<div class="widget"><article><p>{BODY}</p></article></div>') == BODY
+
+
+def chosen(root):
+    """The selection by its definition: recursive, with everything computed anew at each node."""
+    share = recursive(root, root)[2] / recursive(root, root)[0] if recursive(root, root)[0] else 0.0
+
+    def density(x):
+        if isinstance(x, str):
+            n = len(" ".join(x.split()))
+            return H.density(n, 0, 0, 0, share)
+        return H.density(*recursive(x, root), share)
+
+    def up(x):
+        return [] if x.parent is None else [x.parent, *up(x.parent)]
+
+    def known(x):
+        inside = any(y.tag in ("article", "main") for y in up(x))
+        wraps = any(not isinstance(c, str) and (c.tag in ("article", "main") or holds(c)) for c in x.children)
+        return x.parent is not None and (H.boilerplate(x, inside, wraps) or known(x.parent))
+
+    def holds(x):
+        return any(not isinstance(c, str) and (c.tag in ("article", "main") or holds(c)) for c in x.children)
+
+    def walk(x):
+        return [x, *(y for c in x.children if not isinstance(c, str) for y in walk(c))]
+
+    def total(x):
+        return sum(density(c) for c in x.children if not isinstance(c, str))
+
+    free = [x for x in walk(root) if not known(x)]
+    most = max(map(total, free))
+    target = next(x for x in free if total(x) == most) if most > 0 else root
+    while target.tag not in H._CONTAINERS:
+        target = target.parent
+    threshold = min(density(x) for x in [target, *up(target)])
+
+    def usable(x):
+        return isinstance(x, str) or (not known(x) and recursive(x, root)[2] * 2 <= recursive(x, root)[0])
+
+    def plain(x):
+        return isinstance(x, str) or x.tag in H._PLAIN or x.tag not in H._BLOCK
+
+    def around(x):
+        if x.parent is None:
+            return [], []
+        kids = x.parent.children
+        at = [i for i, c in enumerate(kids) if c is x][0]
+        dense = [i for i, c in enumerate(kids) if i != at and usable(c) and density(c) >= threshold > 0]
+        first, last = min([*dense, at]), max([*dense, at])
+        heads = [i for i in range(first) if not isinstance(kids[i], str) and kids[i].tag in H._HEADINGS and all(map(usable, kids[i:first]))]
+        first = min([first, *heads])
+        if x.parent.parent is not None:
+            first = min([first, *(i for i in range(first) if all(plain(c) and usable(c) for c in kids[i:first]))])
+            last = max([last, *(i for i in range(last, len(kids)) if all(plain(c) and usable(c) for c in kids[last + 1 : i + 1]))])
+        before, after = around(x.parent)
+        return before + [c for c in kids[first:at] if usable(c)], [c for c in kids[at + 1 : last + 1] if usable(c)] + after
+
+    before, after = around(target)
+    return [*before, target, *after]
+
+
+def test_selection_follows_the_definition():
+    rng = random.Random(3)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return " ".join(rng.choice(["some", "words", "of", "text"]) for _ in range(rng.choice([0, 2, 5, 40])))
+        tag = rng.choice(["div", "div", "p", "section", "article", "ul", "a", "b", "h2", "nav", 'div class="ad"', 'section id="comments"', 'div class="widget"'])
+        return f"<{tag}>{''.join(made(depth - 1) for _ in range(rng.randrange(4)))}</{tag.split()[0]}>"
+
+    for _ in range(400):
+        root = H.parse("".join(made(4) for _ in range(rng.randrange(1, 5))))
+        assert [id(x) if not isinstance(x, str) else x for x in H.content(root)] == [id(x) if not isinstance(x, str) else x for x in chosen(root)]
+
+
+@pytest.mark.parametrize("broken", ["<div>" * 100_000 + "x", "<div>" * 50_000 + "</p>" * 50_000, "</b>" * 100_000, '<a href="x>' * 50_000, "<p a='" * 50_000, "<ul><li>" * 50_000, "<b><div>" * 30_000 + "</b>" * 30_000, "<head>" * 50_000, "<" * 200_000])
+def test_broken_pages_take_linear_time(broken):
+    began = time.process_time()
+    H.main_text(broken)
+    assert time.process_time() - began < 5
+
+
+class Article(HTMLParser):
+    """The article of the tables' pages by the standard library: its own reading, no densities."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.on, self.blocks, self.parts = False, [], []
+
+    def end(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("article", "footer", "nav"):
+            self.end()
+            self.on = tag == "article"
+        elif tag in ("h1", "p"):
+            self.end()
+        elif tag == "br":
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "h1", "p"):
+            self.end()
+            self.on = self.on and tag != "article"
+
+    def handle_data(self, data):
+        if self.on:
+            self.parts.append(data)
+
+
+def article(text):
+    reader = Article()
+    reader.feed(text)
+    reader.close()
+    reader.end()
+    return "\n".join(reader.blocks)
+
+
 def test_rows(spark):
     rows = [(1, None, "x"), (2, "", "y"), (None, page(f"<p>{BODY}</p>"), "z"), (3, f"<p>{BODY}</p>", "w"), (3, f"<p>{BODY}</p>", "w")]
     out = H.extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
@@ -97,5 +225,14 @@ def test_query(spark):
     assert len(out) == len(pages)
     for r in out:
         assert r.url == pages[r.page_id].url and r.n_chars == len(r.text) > 0
-        assert r.text == H.main_text(pages[r.page_id].html or "")
+        assert r.text == article(pages[r.page_id].html or "")
         assert all(b and b == " ".join(b.split()) for b in r.text.split("\n"))
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test data")
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_density_finds_the_article_without_its_element(tag):
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        assert H.main_text((page or "").replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")) == article(page or "")
