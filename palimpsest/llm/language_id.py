@@ -2,30 +2,39 @@
 
 The language family is predicted first, by one-versus-rest machines over all families; then
 one-versus-one machines tell the languages of that family apart. Features are the relative
-frequencies of the text's character 1- to 4-grams, hashed, letters in lower case and
-everything else one blank. Margins become probabilities by Platt's sigmoid.
-
-The machines are fitted on the driver on about ``SAMPLE`` labelled texts of each language
-(those with the smallest hashes of their id, at most ``MAX_LANGUAGES`` languages); workers
-turn those texts into sparse counts, so no text is collected.
+frequencies of the text's character 1- to 4-grams, hashed; letters (Unicode category L) in
+lower case and their combining marks (M) count, everything else is one blank. Margins become
+probabilities by Platt's sigmoid. A family of more than ``MAX_FAMILY`` languages, such as
+that of all languages without a known family, is parted by the likeness of their mean
+features, so that machines are few for each language, however many languages there are.
+
+The machines are fitted on ``SAMPLE`` labelled texts of each language, or fewer if there are
+many languages: at most ``MAX_ROWS`` rows, or ``MIN_SAMPLE`` a language, in all, and of each row
+the ``MAX_FEATURES`` most frequent features. No language is left out. Copies of a text count as
+one, and a row is chosen by its text's hash. Workers turn texts into sparse features, so no
+text is collected, and tasks fit the machines side by side.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import documents, strings
 
-#: Expected number of labelled texts of a language that the machines are fitted on.
-SAMPLE, MAX_LANGUAGES = 500, 128
+#: Labelled texts of a language that the machines are fitted on; rows in all, but at least so
+#: many of each language; features of a row.
+SAMPLE, MAX_ROWS, MIN_SAMPLE, MAX_FEATURES = 500, 8192, 20, 8192
+#: Languages that one-versus-one machines tell apart; machines that a text meets all at once.
+MAX_FAMILY, AT_ONCE = 12, 64
 ORDERS, BITS = 4, 14
 #: Frequencies are multiplied by this for the machines.
 SCALE = 20.0
@@ -50,7 +59,16 @@ _FAMILIES = {
     "bantu": "sw zu xh sn rw",
 }
 FAMILY = {code: name for name, codes in _FAMILIES.items() for code in codes.split()}
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def _others() -> re.Pattern:
+    """Runs of characters that are neither letters nor marks."""
+    kept = (c for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LM")
+    runs = [[c for _, c in run] for _, run in groupby(enumerate(kept), lambda p: p[1] - p[0])]
+    return re.compile("[^" + "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in runs) + "]+")
+
+
+_NO_LETTERS = _others()
 
 
 def family_of(lang: str) -> str:
@@ -60,8 +78,8 @@ def family_of(lang: str) -> str:
 
 def grams(text: str) -> list[np.ndarray] | None:
     """Hashed n-grams for each order, each order in a range of its own; None without letters."""
-    plain = _NO_LETTERS.sub(" ", text.lower()).strip()
-    if not plain:
+    plain = _NO_LETTERS.sub(" ", text.lower()).strip(" ")
+    if not any(map(str.isalpha, plain)):  # marks alone are no letters
         return None
     codes = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     out, g = [], codes
@@ -125,33 +143,57 @@ def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, ep
 
 @dataclass
 class LanguageModel:
-    """Weights of all machines side by side; ``families`` maps a family to its languages."""
+    """Weights of the machines; ``families`` maps a family to its languages.
+
+    ``column`` numbers the machines: those of the families come first, then each family's
+    pairs. ``blocks`` has the weights of all of them side by side if they are few, else those
+    of the families and then of each family's pairs.
+    """
 
     families: dict[str, list[str]]
     column: dict[tuple[str, ...], int]
-    weights: np.ndarray
+    blocks: list[np.ndarray]
     bias: np.ndarray
     platt: np.ndarray
 
+    def _margins(self, found: list[np.ndarray], block: int) -> np.ndarray:
+        weights = self.blocks[block]
+        margin = np.zeros(weights.shape[1])
+        for g in found:
+            # a long text's n-grams in runs, so that memory does not grow with it
+            for i in range(0, len(g), 1 << 16):
+                margin += weights.take(g[i : i + (1 << 16)], axis=0).sum(0, dtype=np.float64) / len(g)
+        return margin
+
+    def _sure(self, margin: np.ndarray, first: int) -> np.ndarray:
+        at = slice(first, first + len(margin))
+        return 1 / (1 + np.exp(np.clip(self.platt[at, 0] * (margin + self.bias[at]) + self.platt[at, 1], -500, 500)))
+
     def predict(self, text: str) -> tuple[str, float]:
-        """(language, score); ``UNKNOWN`` and 0 if there are no letters or nothing was learned."""
+        """(language, score); ``UNKNOWN`` and 0 if there are no letters or nothing was learned.
+
+        The family with the largest probability wins, the first in the list of equals. Within
+        it the language with the most votes wins, of equals the one with the larger sum of
+        probabilities, then the first in the alphabet. ``score`` is the product of the
+        family's share of the probabilities and the language's mean against the others.
+        """
         found = grams(text) if self.families else None
         if found is None:
             return UNKNOWN, 0.0
-        margin = self.bias.copy()
-        for g in found:
-            # a long text's n-grams in runs, so that memory does not grow with it
-            for i in range(0, len(g), 1 << 16):
-                margin += self.weights.take(g[i : i + (1 << 16)], axis=0).sum(0, dtype=np.float64) / len(g)
-        p = 1 / (1 + np.exp(np.clip(self.platt[:, 0] * margin + self.platt[:, 1], -500, 500)))
+        p = self._sure(self._margins(found, 0), 0)
         names = list(self.families)
         sure = np.array([p[self.column[f,]] if (f,) in self.column else 1.0 for f in names])
         sure = sure / max(float(sure.sum()), 1e-300)
         best = int(sure.argmax())
         langs = self.families[names[best]]
         votes, total = dict.fromkeys(langs, 0), dict.fromkeys(langs, 0.0)
-        for x, y in combinations(langs, 2):
-            q = float(p[self.column[x, y]])
+        pairs = list(combinations(langs, 2))
+        first = 0
+        if pairs and len(self.blocks) > 1:
+            first = self.column[pairs[0]]
+            p = self._sure(self._margins(found, 1 + best), first)
+        for x, y in pairs:
+            q = float(p[self.column[x, y] - first])
             votes[x if q >= 0.5 else y] += 1
             total[x] += q
             total[y] += 1 - q
@@ -160,59 +202,136 @@ class LanguageModel:
         return lang, min(1.0, max(0.0, float(sure[best]) * within))
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel:
-    """A model from (language, feature ids, values times ``SCALE``) rows."""
-    size = ORDERS << BITS
-    langs = sorted({r[0] for r in rows})
-    families: dict[str, list[str]] = {}
-    for x in langs:
-        families.setdefault(family_of(x), []).append(x)
-    tasks: list[tuple[tuple[str, ...], list, np.ndarray]] = []
-    data = [r[1:] for r in rows]
-    if len(families) > 1:
-        for f in families:
-            tasks.append(((f,), data, np.array([1 if family_of(r[0]) == f else -1 for r in rows])))
-    for members in families.values():
-        for x, y in combinations(members, 2):
-            at = [i for i, r in enumerate(rows) if r[0] in (x, y)]
-            tasks.append(((x, y), [data[i] for i in at], np.array([1 if rows[i][0] == x else -1 for i in at])))
-    made = [_svm(d, y, size) for _, d, y in tasks]
-    n = len(made)
-    weights = np.stack([m[0] * SCALE for m in made], 1).astype(np.float32) if n else np.zeros((size, 0), np.float32)
-    return LanguageModel(families, {k: i for i, (k, _, _) in enumerate(tasks)}, weights, np.array([m[1] for m in made]).reshape(n), np.array([m[2:] for m in made]).reshape(n, 2))
+Row = tuple[str, np.ndarray, np.ndarray]
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """A model fitted on about ``sample`` rows of each of the most frequent languages."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    # one row for each language, bounded
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+def families_of(rows: list[Row], most: int = MAX_FAMILY) -> dict[str, list[str]]:
+    """Each family's languages; large families are parted, unlike languages first."""
+    size = ORDERS << BITS
+    out: dict[str, list[str]] = {}
+    for x in sorted({r[0] for r in rows}):
+        out.setdefault(family_of(x), []).append(x)
+    if all(len(v) <= most for v in out.values()):
+        return out
+    mean = {}
+    for x, ids, v in rows:
+        np.add.at(mean.setdefault(x, np.zeros(size, np.float32)), ids, v)
+    for x, m in mean.items():
+        mean[x] = m / max(float(np.linalg.norm(m)), 1e-30)
+
+    def part(langs: list[str]) -> list[list[str]]:
+        if len(langs) <= most:
+            return [langs]
+        # from the two languages that are least like each other, a few rounds of 2-means
+        like = np.array([[float(mean[x] @ mean[y]) for y in langs] for x in langs])
+        a, b = divmod(int(like.argmin()), len(langs))
+        ends = [mean[langs[a]], mean[langs[b]]]
+        for _ in range(8):
+            side = [int(float(mean[x] @ ends[1]) > float(mean[x] @ ends[0])) for x in langs]
+            if len(set(side)) == 1:
+                side = [int(i >= len(langs) // 2) for i in range(len(langs))]
+            ends = [np.mean([mean[x] for x, s in zip(langs, side) if s == k], axis=0) for k in (0, 1)]
+        return part([x for x, s in zip(langs, side) if not s]) + part([x for x, s in zip(langs, side) if s])
+
+    parted = {}
+    for name, langs in out.items():
+        groups = part(langs)
+        parted |= {name if len(groups) == 1 else f"{name}-{i}": g for i, g in enumerate(groups)}
+    return parted
+
+
+def fit(rows: list[Row], spark: SparkSession | None = None) -> LanguageModel:
+    """A model from (language, feature ids, values times ``SCALE``) rows; with ``spark``, tasks of
+    the cluster fit the machines, to the same result."""
+    size = ORDERS << BITS
+    families = families_of(rows)
+    member = {x: f for f, langs in families.items() for x in langs}
+    keys: list[tuple[str, ...]] = [(f,) for f in families] if len(families) > 1 else []
+    keys += [pair for langs in families.values() for pair in combinations(langs, 2)]
+
+    def machine(rows: list[Row], key: tuple[str, ...]):
+        if len(key) == 1:
+            return _svm([r[1:] for r in rows], np.array([1 if member[r[0]] == key[0] else -1 for r in rows]), size)
+        few = [r for r in rows if r[0] in key]
+        return _svm([r[1:] for r in few], np.array([1 if r[0] == key[0] else -1 for r in few]), size)
+
+    if spark is None:
+        made = [machine(rows, k) for k in keys]
+    else:
+        shared = spark.sparkContext.broadcast(rows)  # at most MAX_ROWS rows of MAX_FEATURES features
+
+        def run(batches):
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    w, bias, a, b = machine(shared.value, keys[i])
+                    yield pa.record_batch([pa.array([i], pa.int32()), pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([[bias, a, b]], pa.list_(pa.float64()))], names=["i", "w", "rest"])
+
+        tasks = spark.range(0, len(keys), 1, max(1, min(len(keys), 1024))).selectExpr("cast(id as int) as i")
+        found = sorted(tasks.mapInArrow(run, "i int, w binary, rest array<double>").toArrow().to_pylist(), key=lambda r: r["i"]) if keys else []
+        shared.unpersist()
+        made = [(np.frombuffer(r["w"], np.float32), *r["rest"]) for r in found]
+    n = len(made)
+    ws = [(m[0] * SCALE).astype(np.float32) for m in made]
+
+    def side(of: list[np.ndarray]) -> np.ndarray:
+        return np.stack(of, 1) if of else np.zeros((size, 0), np.float32)
+
+    column = {k: i for i, k in enumerate(keys)}
+    blocks = [side(ws)]
+    if n > AT_ONCE:
+        blocks = [side([w for k, w in zip(keys, ws) if len(k) == 1])]
+        blocks += [side([ws[column[pair]] for pair in combinations(langs, 2)]) for langs in families.values()]
+    return LanguageModel(families, column, blocks, np.array([m[1] for m in made]).reshape(n), np.array([m[2:] for m in made]).reshape(n, 2))
+
+
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, max_rows: int = MAX_ROWS) -> LanguageModel:
+    """A model of all languages, fitted on at most ``sample`` distinct texts of each, in all at
+    most ``max_rows`` or ``MIN_SAMPLE`` a language."""
+    spark = docs.sparkSession
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # one row for each language, with about how many texts it has; copies of a text are one
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy("lang").collect()
     if not counts:
         return fit([])
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, sample / r["count"]))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+    sample = min(sample, max(MIN_SAMPLE, max_rows // len(counts)))
+    share = spark.createDataFrame([(r.lang, min(1.0, (1.2 * sample + 20) / r.n)) for r in counts], "lang string, share double")
+    # equal texts have equal places, and a text's place does not depend on its id
+    place = F.pmod(F.xxhash64("text", F.lit("language sample")), F.lit(1 << 40)) / float(1 << 40)
+    near = labelled.withColumn("place", place).join(F.broadcast(share), "lang").where("place < share")  # a row for each language
 
     def run(batches):
         for batch in batches:
             found = [sparse(t) for t in strings(batch.column(1))]
             keep = [i for i, x in enumerate(found) if x is not None]
-            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i][0] for i in keep], pa.list_(pa.int32())), pa.array([(found[i][1] * SCALE).astype(np.float32) for i in keep], pa.list_(pa.float32()))], names=["lang", "ids", "values"])
-
-    picked = labelled.where(place < share).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = picked.mapInArrow(run, "lang string, ids array<int>, values array<float>").toArrow()
+            ids, values = [], []
+            for i in keep:
+                at, v = found[i]
+                if len(at) > MAX_FEATURES:
+                    most = np.sort(np.argsort(-v, kind="stable")[:MAX_FEATURES])
+                    at, v = at[most], v[most]
+                ids.append(at)
+                values.append((v * SCALE).astype(np.float32))
+            taken = pa.array(keep, pa.int64())
+            yield pa.record_batch([batch.column(0).take(taken), batch.column(2).take(taken), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "place", "ids", "values"])
+
+    # copies of a text have one place; what is left of a language is near `sample`, and then cut to it
+    picked = near.select("lang", "text", "place").mapInArrow(run, "lang string, place double, ids array<int>, values array<float>")
+    one = picked.groupBy("lang", "place").agg(F.min(F.struct("ids", "values")).alias("x"))
+    ranked = one.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("_rank") <= sample)
+    rows = ranked.select("lang", "x.ids", "x.values").toArrow()
     out = [(lang, np.array(i, np.int32), np.array(v)) for lang, i, v in zip(rows["lang"].to_pylist(), rows["ids"].to_numpy(), rows["values"].to_numpy())]
     del rows
-    return fit(sorted(out, key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1].tobytes()))))
+    return fit(sorted(out, key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1].tobytes()))), spark)
 
 
-def language_column(model: LanguageModel):
+def language_column(spark: SparkSession, model: LanguageModel):
     """A column function of a text: struct<lang_pred, score>."""
+    # bounded by the languages: about (MAX_FAMILY - 1) / 2 + 1 machines of 256 KB for each
+    shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(text: pa.Array) -> pa.Array:
-        found = [model.predict(t) for t in strings(text)]
+        found = [shared.value.predict(t) for t in strings(text)]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["lang_pred", "score"])
 
     return predict
@@ -232,12 +351,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``_language`` is replaced.
     """
     model = fit_languages(docs.where(~held_out(id_col)), id_col, text_col)
-    return docs.withColumn("_language", language_column(model)(F.col(text_col).cast("string")))
+    return docs.withColumn("_language", language_column(docs.sparkSession, model)(F.col(text_col).cast("string")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents in a language that was learned, predicted with some confidence."""
-    found = language_column(fit_languages(docs.where(~held_out())))(F.col("text").cast("string"))
+    found = language_column(spark, fit_languages(docs.where(~held_out())))(F.col("text").cast("string"))
     return docs.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= MIN_SCORE))
 
 

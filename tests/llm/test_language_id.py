@@ -30,6 +30,83 @@ def test_grams_are_whole_texts():
     assert sum(a[1]) == pytest.approx(L.ORDERS)
 
 
+def test_letters_are_category_l():
+    for none in ("½ ² Ⅷ ①", "٣ 42 _", "\u0301\u0300", "🙂"):
+        assert L.grams(none) is None
+    # vowel signs stay in their words
+    assert L.grams("किताब")[0].size == len("किताब") + 2
+
+
+def test_many_languages_in_small_families():
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(200):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(4)]
+        for _ in range(3):
+            ids, v = L.sparse(" ".join(rng.choice(words, 20)))
+            rows.append((f"x{k:03}", ids, (v * L.SCALE).astype(np.float32)))
+        rows[-1] = (rows[-1][0], rows[-1][1], rows[-1][2])
+    families = L.families_of(rows)
+    assert sorted(x for langs in families.values() for x in langs) == sorted({r[0] for r in rows})
+    assert max(map(len, families.values())) <= L.MAX_FAMILY
+
+
+def slow_prediction(model, text):
+    """Votes and score by the definition, one machine at a time over plain dictionaries."""
+    import math
+
+    values = dict(zip(*map(list, L.sparse(text))))
+
+    def sure(key):
+        c = model.column[key]
+        weights = model.blocks[0][:, c] if len(model.blocks) == 1 else None
+        if weights is None:
+            names = list(model.families)
+            if len(key) == 1:
+                weights = model.blocks[0][:, c]
+            else:
+                at = next(i for i, f in enumerate(names) if key[0] in model.families[f])
+                pairs = [(x, y) for i, x in enumerate(model.families[names[at]]) for y in model.families[names[at]][i + 1 :]]
+                weights = model.blocks[1 + at][:, pairs.index(key)]
+        margin = sum(float(weights[f]) * v for f, v in values.items()) + model.bias[c]
+        return 1 / (1 + math.exp(min(500, max(-500, model.platt[c][0] * margin + model.platt[c][1]))))
+
+    of = {f: sure((f,)) if (f,) in model.column else 1.0 for f in model.families}
+    family = max(of, key=of.get)
+    langs = model.families[family]
+    against = {x: {y: (sure((x, y)) if (x, y) in model.column else 1 - sure((y, x))) for y in langs if y != x} for x in langs}
+    votes = {x: sum(q > 0.5 or (q == 0.5 and x < y) for y, q in against[x].items()) for x in langs}
+    lang = max(langs, key=lambda x: (votes[x], sum(against[x].values())))
+    return lang, of[family] / sum(of.values()) * (sum(against[lang].values()) / (len(langs) - 1) if len(langs) > 1 else 1)
+
+
+@pytest.mark.parametrize("at_once", [64, 0])
+def test_votes_equal_plain_ones(spark, monkeypatch, at_once):
+    monkeypatch.setattr(L, "AT_ONCE", at_once)
+    rows = toy()
+    model = L.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.blocks) == (1 if at_once else 1 + len(model.families))
+    for text in [t for _, t, _ in rows[::7]] + ["the der les las", "x"]:
+        lang, score = model.predict(text)
+        want = slow_prediction(model, text)
+        assert lang == want[0] and score == pytest.approx(want[1], rel=1e-4)
+
+
+def test_no_language_is_left_out_and_copies_count_once(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "".join(rng.choice(list("abcdefghij"), 30)), f"x{i % 150:03}") for i in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    copies = spark.range(100_000).selectExpr("7L as doc_id", "'the same text again' as text", "'x000' as lang")
+    model = L.fit_languages(docs.unionByName(copies), sample=3)
+    assert sum(map(len, model.families.values())) == 150
+
+
+def test_tasks_fit_the_same_machines(spark):
+    rows = [(lang, *(a, (v * L.SCALE).astype(np.float32))) for _, t, lang in toy(8) for a, v in [L.sparse(t)]]
+    here, there = L.fit(rows), L.fit(rows, spark)
+    assert here.column == there.column and np.allclose(here.blocks[0], there.blocks[0]) and np.allclose(here.platt, there.platt)
+
+
 def test_machines_separate():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 6))
