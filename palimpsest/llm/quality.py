@@ -3,9 +3,10 @@
 The statistics of a text become ratios that do not depend on its length. An isolation forest
 (Liu, Ting and Zhou, 2008) is grown on labelled good documents; its splits are drawn over the
 range of all labelled documents, so that what lies outside the good ones' range falls into
-empty branches near the root and has a short path. The score's threshold is the one that
-best separates the labelled good from the labelled bad rows. The labelled rows that the
-forest sees are at most ``MAX_LABELLED``, those with the smallest hash of their id.
+empty branches near the root and has a short path. Every ``HOLD``th good row grows no tree;
+the score's threshold is the one that best separates those from the labelled bad rows, a good
+row lost counting as two bad ones kept. At most ``MAX_LABELLED`` rows are fitted on: one for
+each of so many labelled ids, those with the smallest hash.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from palimpsest.llm.common import documents, strings
 
 #: Bound on the labelled rows that the forest and its threshold are fitted on.
 MAX_LABELLED = 8192
+#: Of the good rows, one in so many sets the threshold; with fewer than ``MIN_HELD`` such rows all do.
+HOLD, MIN_HELD = 4, 30
 TREES, SUBSAMPLE, SEED = 128, 256, 7
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -126,7 +129,7 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / self.norm)
 
     def calibrate(self, good: np.ndarray, bad: np.ndarray) -> None:
-        """The threshold with the least share of good above it plus of bad below it."""
+        """The threshold with the least of twice the share of good above it plus that of bad below."""
         g, b = np.sort(self.score(good)), np.sort(self.score(bad))
         cuts = np.unique(np.concatenate([g, b]))
         cost = 2 * (1 - np.searchsorted(g, cuts, side="right") / len(g)) + np.searchsorted(b, cuts, side="right") / len(b)
@@ -136,7 +139,11 @@ class IsolationForest:
 
 
 def fit_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> IsolationForest | None:
-    """A forest with its threshold, or None if there is no labelled good or no labelled bad row."""
+    """A forest with its threshold, or None if there is no labelled good or no labelled bad row.
+
+    Of an id's labels the least counts, and of documents that share it the one with the least
+    features; documents that fail the base rules teach nothing.
+    """
     picked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
@@ -144,17 +151,24 @@ def fit_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             found = [statistics(t) for t in strings(batch.column(1))]
             keep = [i for i, (counts, _) in enumerate(found) if not base_failed(counts)]
-            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i][1] for i in keep], pa.list_(pa.float64()))], names=["quality", "x"])
+            taken = pa.array(keep, pa.int64())
+            yield pa.record_batch([batch.column(0).take(taken), batch.column(2).take(taken), pa.array([found[i][1] for i in keep], pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     # at most max_labelled rows, hence small enough to send
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = chosen.select("quality", "text").mapInArrow(run, "quality int, x array<double>").collect()
+    kind = labels.schema["doc_id"].dataType.simpleString()
+    seen = chosen.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, f"doc_id {kind}, quality int, x array<double>")
+    # an id may have any number of documents: one row of it
+    rows = seen.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("r.*").collect()
     good = np.array([r.x for r in sorted(rows) if r.quality == 1])
     bad = np.array([r.x for r in sorted(rows) if r.quality == 0])
     if not len(good) or not len(bad):
         return None
-    forest = IsolationForest.fit(good, np.concatenate([good, bad]))
-    forest.calibrate(good, bad)
+    held = np.arange(len(good)) % HOLD == HOLD - 1
+    if held.sum() < MIN_HELD:
+        held[:] = False
+    forest = IsolationForest.fit(good[~held], np.concatenate([good[~held], bad]))
+    forest.calibrate(good[held] if held.any() else good, bad)
     return forest
 
 

@@ -88,6 +88,42 @@ def test_verdicts_agree_with_labels_not_fitted_on(spark):
     assert len(right) > 50 and np.mean(right) >= 0.9 and np.mean(good) >= 0.95
 
 
+def test_an_id_with_many_documents_is_one_row(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(words, 60)) + (" ###" * 60 if i % 2 else "")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.range(20_000).selectExpr("1L as doc_id", f"concat('{rows[1][1]} ', id) as text")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    sizes = []
+    fit, Q.IsolationForest.fit = Q.IsolationForest.fit, classmethod(lambda cls, good, every, **more: sizes.append(len(every)) or fit(good, every, **more))
+    try:
+        Q.fit_forest(docs.unionByName(many), labels)
+    finally:
+        Q.IsolationForest.fit = fit
+    assert sizes == [80]
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test data")
+def test_verdicts_of_the_query_by_plain_walks(spark):
+    """kept of every document: recursive walks down every tree of the fitted forest."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    forest = Q.fit_forest(docs, labels)
+    trees = [tuple(c.tolist() for c in t) for t in forest.trees]
+
+    def depth(tree, x, at=0):
+        feature, split, left, right, path = tree
+        return path[at] if feature[at] < 0 else depth(tree, x, left[at] if x[feature[at]] <= split[at] else right[at])
+
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    out = Q.op4_quality_rules(spark, str(SF)).collect()
+    assert {r.doc_id for r in out} == set(text)
+    for r in out:
+        counts, x = Q.statistics(text[r.doc_id])
+        score = 2 ** (-sum(depth(t, x) for t in trees) / len(trees) / forest.norm)
+        assert r.anomaly == pytest.approx(score) and r.kept == (not Q.base_failed(counts) and (r.anomaly <= forest.threshold))
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no test data")
 def test_query_counts(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
