@@ -1,19 +1,23 @@
 """Line dedup over the whole corpus, with DataFrame operations only.
 
 A log-structured index keeps which document owns each line key. It is a stack of *runs*:
-Parquet tables sorted by the 128-bit hash of the key, with the smallest document that holds
-it. Batches of documents come in ascending document order. Each batch is reduced to its
-distinct keys, merge-anti-joined with the runs, and the keys that are new become one more
+tables bucketed and sorted by the 128-bit hash of the key, with the smallest document that
+holds it. Batches of documents come in ascending document order. Each batch is reduced to its
+distinct keys, which are dealt once into the runs' buckets and merge-joined with each run, bucket
+by bucket; runs are read as they lie, without an exchange. The keys that are new become one more
 run of level 0. When a level has ``fanout`` runs they are merged into one run of the next
-level, so a key is rewritten O(log batches) times and a batch meets O(log batches) runs.
+level, again bucket by bucket, so a key is rewritten O(log batches) times and a batch meets
+O(log batches) runs.
 
-A batch is a range of documents; the ranges hold about equal numbers of them, are disjoint and
-ascend, so an owner in an earlier run always precedes the batch's own documents, and the
-result equals that of one global minimum.
+A batch is a range of documents; the ranges hold about equal numbers of them, ``BATCH_DOCS`` at
+most, are disjoint and ascend, so an owner in an earlier run always precedes the batch's own
+documents, and the result equals that of one global minimum.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections import defaultdict
 from functools import reduce
 
@@ -24,8 +28,10 @@ from palimpsest.llm.common import BLANKS, Workspace, ascii_lower, documents, who
 
 #: Keys of fewer code points are never duplicates.
 MIN_KEY_CHARS = 10
-#: Batches that a corpus is dealt into, and runs that a level holds before they are merged.
-BATCHES, FANOUT = 4, 3
+#: Batches that a corpus is dealt into at least, documents of a batch, and the most batches.
+BATCHES, BATCH_DOCS, MAX_BATCHES = 4, 100_000_000, 1000
+#: Runs that a level holds before they are merged.
+FANOUT = 3
 #: A document without an id comes after all others.
 LAST = (1 << 63) - 1
 
@@ -36,42 +42,52 @@ def line_key(line: Column) -> Column:
 
 
 class RunStore:
-    """Levelled sorted runs of (h1, h2, owner), each key in exactly one run."""
+    """Levelled sorted runs of (h1, h2, owner), each key in exactly one run.
+
+    Runs have as many buckets as the session has shuffle partitions, so that what an exchange
+    deals meets them bucket by bucket.
+    """
 
     def __init__(self, space: Workspace, fanout: int = FANOUT):
-        self.space, self.fanout, self.made = space, fanout, 0
+        self.space, self.spark, self.fanout = space, space.spark, fanout
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.prefix, self.tables = f"runs_{uuid.uuid4().hex}", []
         self.levels: dict[int, list[tuple[str, DataFrame]]] = defaultdict(list)
 
     def runs(self) -> list[DataFrame]:
         return [df for _, level in sorted(self.levels.items()) for _, df in level]
 
-    def all(self) -> DataFrame | None:
-        runs = self.runs()
-        return reduce(DataFrame.union, runs) if runs else None
-
     def owners(self, keys: DataFrame) -> DataFrame:
-        """The keys with the owner that a run names (null where the key is new)."""
-        known = self.all()
-        if known is None:
-            return keys.withColumn("old", F.lit(None).cast("long"))
-        return keys.join(known.withColumnRenamed("owner", "old"), ["h1", "h2"], "left")
-
-    def add(self, new: DataFrame) -> None:
-        """Adds keys that no run holds as a run of level 0, then merges full levels."""
-        self._write(0, new)
+        """Distinct keys with the owner that a run names (``old``, null where the key is new)."""
+        names = []
+        for i, run in enumerate(self.runs()):
+            names.append(f"_owner_{i}")
+            keys = keys.join(run.withColumnRenamed("owner", names[-1]), ["h1", "h2"], "left")
+        return keys.withColumn("old", F.coalesce(*names) if names else F.lit(None).cast("long")).drop(*names)
+
+    def write(self, keys: DataFrame) -> tuple[str, DataFrame]:
+        """A table of its own, bucketed and sorted by key: its name and its rows."""
+        name = f"{self.prefix}_{len(self.tables)}"
+        keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.space.path(name)).saveAsTable(name)
+        self.tables.append(name)
+        return name, self.spark.table(name)
+
+    def add(self, name: str, new: DataFrame) -> None:
+        """Takes rows of a table that ``write`` made, keys that no run holds, as a run of level
+        0, then merges full levels."""
+        self.levels[0].append((name, new))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old = self.levels.pop(level)
-            merged = reduce(DataFrame.union, [df for _, df in old])
-            self._write(level + 1, merged.repartition("h1", "h2"))
-            for name, _ in old:
-                self.space.drop(name)
+            # no key is in two runs; the aggregate lays their buckets side by side
+            merged = reduce(DataFrame.union, [df for _, df in old]).groupBy("h1", "h2").agg(F.min("owner").alias("owner"))
+            self.levels[level + 1].append(self.write(merged))
             level += 1
 
-    def _write(self, level: int, keys: DataFrame) -> None:
-        name = f"run-{level}-{self.made}"
-        self.made += 1
-        self.levels[level].append((name, self.space.write(keys.sortWithinPartitions("h1", "h2"), name)))
+    def clear(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.space.drop(name)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = FANOUT, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
@@ -103,13 +119,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for i in range(len(cuts) + 1):
         mine = lines.where(F.col("batch") == i).drop("batch")
         keys = mine.groupBy("h1", "h2").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi"))
-        keys = space.write(store.owners(keys), f"keys-{i}")
-        store.add(keys.where("old is null").select("h1", "h2", F.col("lo").alias("owner")))
-        # of a key that no other document holds, nothing is dropped; most keys end here
-        shared = keys.where("old is not null or lo < hi").select("h1", "h2", F.coalesce("old", "lo").alias("owner"))
+        name, keys = store.write(store.owners(keys))
+        if i < len(cuts):
+            store.add(name, keys.where("old is null").select("h1", "h2", F.col("lo").alias("owner")))
+        # of a key that no other document holds, nothing is dropped; most keys end here. The plain
+        # files, so that a line with very many rows can be split between tasks
+        written = space.read(name, keys)
+        shared = written.where("old is not null or lo < hi").select("h1", "h2", F.coalesce("old", "lo").alias("owner"))
         drops.append(mine.join(shared, ["h1", "h2"]).where("owner < _doc").select("_doc", "_row", "pos"))
     gone = reduce(DataFrame.union, drops).groupBy("_doc", "_row").agg(F.collect_set("pos").alias("_gone"))
     gone = space.write(gone, "gone")
+    store.clear()
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     # in a struct, so that no name of theirs meets one of ours
     others = F.struct(*[F.col(f"`{c}`") for c in rest if c != text_col]).alias("_rest")
@@ -127,9 +147,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _cuts(docs: DataFrame, doc: Column, batches: int) -> list[int]:
-    """Ids that part the documents into about equal ranges."""
-    found = docs.agg(F.percentile_approx(doc, [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
-    return sorted(set(found or []))
+    """Ids that part the documents into about equal ranges, ``batches`` or more."""
+    n, *grid = docs.agg(F.count("*"), F.percentile_approx(doc, [i / MAX_BATCHES for i in range(1, MAX_BATCHES)], 10_000)).first()
+    batches = min(MAX_BATCHES, max(batches, math.ceil(n / BATCH_DOCS)))
+    return sorted({grid[0][i * MAX_BATCHES // batches - 1] for i in range(1, batches)}) if n else []
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
