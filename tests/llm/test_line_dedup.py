@@ -77,14 +77,17 @@ def test_empty_table_and_long_text(spark):
 
 def test_levels_hold_each_key_once(spark):
     store = L.RunStore(L.Workspace(spark, "test-runs"), fanout=2)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # or small runs are broadcast
     for b in range(7):
-        keys = spark.range(b * 10, b * 10 + 15).groupBy(F.col("id").alias("h1"), F.col("id").alias("h2")).agg(F.lit(b).cast("long").alias("lo"))
+        keys = spark.range(b * 10, b * 10 + 15).repartition(3).groupBy(F.col("id").alias("h1"), F.col("id").alias("h2")).agg(F.lit(b).cast("long").alias("lo"))
         found = store.owners(keys)
         # what is new is dealt once; no run is dealt or sorted by anything but its buckets
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Bucketed: true") == len(store.runs())
         name, found = store.write(found)
         store.add(name, found.where("old is null").select("h1", "h2", F.col("lo").alias("owner")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     every = [r for run in store.runs() for r in run.collect()]
     assert len(every) == len({r.h1 for r in every}) == 75
     assert len(store.runs()) <= 3  # 7 batches, merged by twos: levels 0, 1 and 2
