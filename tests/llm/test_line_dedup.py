@@ -80,7 +80,7 @@ def test_levels_hold_each_key_once(spark):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # or small runs are broadcast
     for b in range(7):
-        keys = spark.range(b * 10, b * 10 + 15).repartition(3).groupBy(F.col("id").alias("h1"), F.col("id").alias("h2")).agg(F.lit(b).cast("long").alias("lo"))
+        keys = spark.range(b * 10, b * 10 + 15).select(F.col("id").alias("h1"), (F.col("id") * 7).alias("h2")).repartition(3).groupBy("h1", "h2").agg(F.lit(b).cast("long").alias("lo"))
         found = store.owners(keys)
         # what is new is dealt once; no run is dealt or sorted by anything but its buckets
         plan = found._jdf.queryExecution().executedPlan().toString()
