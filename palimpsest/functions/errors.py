@@ -1,20 +1,40 @@
-"""Errors with the SQLSTATE codes of PostgreSQL's public table."""
+"""Errors with the SQLSTATE codes of PostgreSQL's public table, and the fields of its messages."""
 
 from __future__ import annotations
 
+import json
+
+SEVERITIES = ("DEBUG", "LOG", "INFO", "NOTICE", "WARNING", "ERROR", "FATAL", "PANIC")
+#: Fields of an error besides its severity, SQLSTATE and message.
+FIELDS = ("detail", "hint", "position", "internal_position", "internal_query", "where", "schema_name", "table_name", "column_name", "datatype_name", "constraint_name")
+
 
 class EngineError(Exception):
-    """An error of the engine; ``sqlstate`` tells its kind."""
+    """An error of the engine; ``sqlstate`` tells its kind, ``fields`` what it is about."""
 
     sqlstate = "XX000"
     severity = "ERROR"
 
-    def __init__(self, message: str, detail: str | None = None, hint: str | None = None):
+    def __init__(self, message: str, severity: str | None = None, **fields):
         super().__init__(message)
-        self.message, self.detail, self.hint = message, detail, hint
+        if unknown := set(fields) - set(FIELDS):
+            raise TypeError(f"no error fields {sorted(unknown)}")
+        if severity is not None and severity not in SEVERITIES:
+            raise ValueError(f"no severity {severity!r}")
+        self.message, self.fields = message, {k: v for k, v in fields.items() if v is not None}
+        self.severity = severity or type(self).severity
+
+    def __getattr__(self, name: str):
+        if name in FIELDS:
+            return self.fields.get(name)
+        raise AttributeError(name)
+
+    def report(self) -> dict[str, str]:
+        """Every field that is set, by name."""
+        return {"severity": self.severity, "sqlstate": self.sqlstate, "message": self.message, **self.fields}
 
     def __str__(self) -> str:
-        more = "".join(f"\n{k}: {v}" for k, v in (("DETAIL", self.detail), ("HINT", self.hint)) if v)
+        more = "".join(f"\n{k.upper().replace('_', ' ')}: {v}" for k, v in self.fields.items())
         return f"[{self.sqlstate}] {self.message}{more}"
 
 
@@ -40,3 +60,11 @@ InvalidCatalogName = _kind("InvalidCatalogName", "3D000", "No such database.")
 LockNotAvailable = _kind("LockNotAvailable", "55P03", "Another transaction changes the catalog.")
 
 SQLSTATES = {c.sqlstate: c for c in list(globals().values()) if isinstance(c, type) and issubclass(c, EngineError)}
+
+
+def sqlstates(spark) -> dict[str, str]:
+    """The SQLSTATEs of PostgreSQL's table with their descriptions, out of the public table of
+    error states that comes with Spark."""
+    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    raw = spark._jvm.scala.io.Source.fromInputStream(loader.getResourceAsStream("error/error-states.json"), "UTF-8").mkString()
+    return {code: state["description"] for code, state in json.loads(raw).items() if "PostgreSQL" in state["usedBy"]}

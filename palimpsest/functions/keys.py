@@ -131,29 +131,50 @@ def byte_swap(c: Column, width: int) -> Column:
     return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))])
 
 
-def mix64(x: int) -> int:
-    """The 64-bit finalizer of MurmurHash3 (public domain). Spark deals rows by its own hash."""
-    m = (1 << 64) - 1
-    x ^= x >> 33
-    x = x * 0xFF51AFD7ED558CCD & m
-    x ^= x >> 33
-    x = x * 0xC4CEB9FE1A85EC53 & m
-    return x ^ x >> 33
+def _unsigned(c: Column) -> Column:
+    """A long's bits as an unsigned decimal."""
+    d = c.cast("decimal(38,0)")
+    return F.when(c < 0, d + F.lit(str(1 << 64)).cast("decimal(38,0)")).otherwise(d)
 
 
-def mix32(x: int) -> int:
-    """The 32-bit finalizer of MurmurHash3."""
-    m = (1 << 32) - 1
-    x ^= x >> 16
-    x = x * 0x85EBCA6B & m
-    x ^= x >> 13
-    x = x * 0xC2B2AE35 & m
-    return x ^ x >> 16
+def _times(c: Column, factor: int) -> Column:
+    """c * factor modulo 2 ** 64 of longs, as unsigned numbers. Halves of the factor keep each
+    product within a decimal's digits."""
+    whole, half = F.lit(str(1 << 64)).cast("decimal(20,0)"), F.lit(str(1 << 32)).cast("decimal(10,0)")
+    x = _unsigned(c).cast("decimal(20,0)")
+    low = x * F.lit(str(factor & 0xFFFFFFFF)).cast("decimal(10,0)") % whole
+    high = x * F.lit(str(factor >> 32)).cast("decimal(10,0)") % half * half
+    made = ((low + high) % whole).cast("decimal(20,0)")
+    return F.when(made >= F.lit(str(1 << 63)).cast("decimal(20,0)"), (made - whole).cast("bigint")).otherwise(made.cast("bigint"))
 
 
-def align_up(n: int, to: int) -> int:
-    return -(-n // to) * to
+def mix64(c: Column) -> Column:
+    """The 64-bit finalizer of MurmurHash3 (public domain) of a long. Spark deals rows by its own
+    hash; this one is for values that must equal others' mixing."""
+    c = c.cast("bigint")
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        c = _times(c.bitwiseXOR(F.shiftrightunsigned(c, 33)), factor)
+    return c.bitwiseXOR(F.shiftrightunsigned(c, 33))
 
 
-def align_down(n: int, to: int) -> int:
-    return n // to * to
+def mix32(c: Column) -> Column:
+    """The 32-bit finalizer of MurmurHash3 of an unsigned 32-bit number, held by a long."""
+    mask = F.lit(0xFFFFFFFF).cast("bigint")
+
+    def times(c: Column, factor: int) -> Column:
+        return (c * (factor & 0xFFFF) + F.shiftleft((c * (factor >> 16)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(mask)
+
+    c = c.cast("bigint").bitwiseAND(mask)
+    c = times(c.bitwiseXOR(F.shiftright(c, 16)), 0x85EBCA6B)
+    c = times(c.bitwiseXOR(F.shiftright(c, 13)), 0xC2B2AE35)
+    return c.bitwiseXOR(F.shiftright(c, 16))
+
+
+def align_up(n, to: int):
+    """The next multiple of ``to``, of a number or a column."""
+    return (F.ceil(n / to) * to).cast("bigint") if isinstance(n, Column) else -(-n // to) * to
+
+
+def align_down(n, to: int):
+    """The multiple of ``to`` at or before a number or a column's."""
+    return (F.floor(n / to) * to).cast("bigint") if isinstance(n, Column) else n // to * to

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.functions.errors import NotNullViolation, NumericOutOfRange
-
 
 @dataclass(frozen=True)
 class ColumnType:
@@ -72,26 +70,23 @@ def fields_of(schema: T.StructType) -> list[Field]:
     return [Field(f.name, f.metadata.get("type") or _FROM_SPARK.get(f.dataType.simpleString(), "VARCHAR"), f.metadata.get("oid", i + 1), f.nullable) for i, f in enumerate(schema.fields)]
 
 
-def out_of_range(field: Field) -> Column:
-    """True where a value is outside its integer type."""
-    t, c = TYPES[field.type], F.col(field.name)
-    if t.low is None:
-        return F.lit(False)
-    kind = "decimal(20,0)"
-    return F.coalesce((c < F.lit(str(t.low)).cast(kind)) | (c > F.lit(str(t.high)).cast(kind)), F.lit(False))
-
-
-def conform(df: DataFrame, fields: list[Field]) -> DataFrame:
-    """``df`` with the fields' Spark types; a value out of range or a forbidden null raises."""
-    wrong = F.lit(False)
+def out_of_range(fields: list[Field]) -> Column:
+    """True where some value is outside its column's type."""
+    kind, any_ = "decimal(20,0)", F.lit(False)
     for f in fields:
-        wrong = wrong | out_of_range(f)
-    if not df.where(wrong).isEmpty():
-        raise NumericOutOfRange(f"a value is out of range of its type ({', '.join(f'{f.name} {f.type}' for f in fields)})")
-    missing = F.lit(False)
+        t, c = TYPES[f.type], F.col(f"`{f.name}`")
+        bad = c.isNotNull() & c.try_cast(t.spark).isNull()
+        if t.low is not None:
+            wide = c.try_cast(kind)
+            bad = bad | F.coalesce((wide < F.lit(str(t.low)).cast(kind)) | (wide > F.lit(str(t.high)).cast(kind)), F.lit(False))
+        any_ = any_ | bad
+    return any_
+
+
+def missing(fields: list[Field]) -> Column:
+    """True where a column that takes no null has one."""
+    any_ = F.lit(False)
     for f in fields:
         if not f.nullable:
-            missing = missing | F.col(f.name).isNull()
-    if not df.where(missing).isEmpty():
-        raise NotNullViolation(f"a column that takes no null got one ({', '.join(f.name for f in fields if not f.nullable)})")
-    return df.select(*[F.col(f.name).cast(TYPES[f.type].spark).alias(f.name) for f in fields])
+            any_ = any_ | F.col(f"`{f.name}`").isNull()
+    return any_

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.errors import UniqueViolation, WriteConflict
-from palimpsest.functions.keys import composite, encode_nullable, fold, fold_text
+from palimpsest.functions.keys import fold, fold_text
 from palimpsest.functions.types import Field
 from palimpsest.operators import versions as V
 
@@ -43,14 +43,18 @@ class KeyIndex:
         self.fields, self.unique = fields, unique
         self.names = [f.name for f in fields]
 
-    def get(self, entries: DataFrame, *values) -> DataFrame:
-        """tids of the entries whose whole key equals the values, ascending."""
+    def matching(self, entries: DataFrame, *values) -> DataFrame:
+        """The entries whose whole key equals the values."""
         if len(values) != len(self.fields):
             raise ValueError(f"the key has {len(self.fields)} columns")
         found = entries
         for f, v in zip(self.fields, values):
             found = found.where(equals(f, v))
-        return found.select("tid").orderBy("tid")
+        return found
+
+    def get(self, entries: DataFrame, *values) -> DataFrame:
+        """tids of the entries whose whole key equals the values, ascending."""
+        return self.matching(entries, *values).select("tid").orderBy("tid")
 
     def insert(self, entries: DataFrame, new: DataFrame) -> DataFrame:
         """Entries with new ones; equal keys accumulate."""
@@ -78,22 +82,27 @@ class KeyIndex:
         twice = c.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
         return c.join(e, keys, "left_anti").join(twice, keys, "left_anti").drop(*keys)
 
-    def insert_unique(self, owners: DataFrame, candidates: DataFrame, start: int, me: int) -> DataFrame:
-        """Candidates, if each may take its key; raises otherwise.
+    def key_states(self, owners: DataFrame, start: int, me: int) -> DataFrame:
+        """For each key ``free``: whether a transaction may take it.
 
         ``owners`` are entries with their tuple's newest version (op, stamp), null for rows that
         have none and so always own their key. A key is free if each owner is deleted, and the
         deletion is this transaction's or was committed before it began.
         """
         conflict = V.conflicts(F.col("stamp"), start, me)
-        taken = owners.where(F.col("op").isNull() | (F.col("op") != V.DELETE) | conflict)
-        keys = [k.alias(f"_{n}") for k, n in zip(folded_columns(self.fields), self.names)]
+        owned = F.col("op").isNull() | (F.col("op") != V.DELETE) | conflict
+        keys = [k.alias(n) for k, n in zip(folded_columns(self.fields), self.names)]
+        return owners.groupBy(*keys).agg(F.bool_and(~owned).alias("free"))
+
+    def insert_unique(self, owners: DataFrame, candidates: DataFrame, start: int, me: int) -> DataFrame:
+        """Candidates, if each may take its key (see ``key_states``); raises otherwise."""
+        taken = self.key_states(owners, start, me).where(~F.col("free"))
         names = [f"_{n}" for n in self.names]
-        c = candidates.select("*", *keys)
+        c = candidates.select(*[k.alias(n) for k, n in zip(folded_columns(self.fields), names)])
         if not self.violations(candidates).isEmpty():
-            raise UniqueViolation(f"a key ({', '.join(self.names)}) occurs twice among the new rows")
-        if not c.join(taken.select(*keys), names, "left_semi").isEmpty():
-            raise UniqueViolation(f"a key ({', '.join(self.names)}) is taken")
+            raise UniqueViolation(f"a key ({', '.join(self.names)}) occurs twice among the new rows", column_name=self.names[0])
+        if not c.join(taken.toDF(*names, "free"), names, "left_semi").isEmpty():
+            raise UniqueViolation(f"a key ({', '.join(self.names)}) is taken", column_name=self.names[0])
         return candidates
 
     def target_for_modify(self, owners: DataFrame, start: int, me: int) -> DataFrame:
@@ -112,27 +121,43 @@ class KeyIndex:
             found = found.where(equals(f, v))
         row = self.target_for_modify(found, start, me).limit(1).collect()
         if row and row[0].conflict:
-            raise WriteConflict("the key's row was written by another transaction")
+            raise WriteConflict("the key's row was written by another transaction", column_name=self.names[0])
         return row[0].tid if row else None
 
     def exists(self, owners: DataFrame, *values) -> bool:
         """Whether a row of a snapshot has the key."""
         return not self.get(owners, *values).isEmpty()
 
+    def _sorts(self) -> list[Column]:
+        """Columns that sort and compare as the keys' bytes do: Spark puts nulls first, has one
+        zero, puts NaN last and compares text by its UTF-8 bytes."""
+        return [fold(F.col(f.name)) if f.type == "VARCHAR" else F.col(f.name) for f in self.fields]
+
     def ordered(self, entries: DataFrame) -> DataFrame:
         """Entries in key order, then by tid."""
-        parts = [encode_nullable(F.col(f.name), f.type) if f.nullable or f.type in ("VARCHAR", "DOUBLE", "VARBINARY") else F.col(f.name) for f in self.fields]
-        return entries.orderBy(*parts, "tid")
+        return entries.orderBy(*self._sorts(), "tid")
 
     def range(self, entries: DataFrame, low: tuple | None, high: tuple | None) -> DataFrame:
-        """Extension: entries between two keys, ends included, in key order."""
-        key = composite(self.fields)
-        out = entries.withColumn("_key", key)
-        spark = entries.sparkSession
-        for bound, above in ((low, True), (high, False)):
-            if bound is not None:
-                from palimpsest.functions.types import schema_of
+        """Extension: entries between two keys, ends included, in key order.
 
-                one = spark.createDataFrame([tuple(bound)], schema_of(self.fields)).select(key.alias("k")).first()["k"]
-                out = out.where(F.col("_key") >= F.lit(bytes(one)) if above else F.col("_key") <= F.lit(bytes(one)))
-        return out.orderBy("_key", "tid").drop("_key")
+        Keys are compared column by column, nulls first. The bounds of a leading column that is
+        no text also stand alone, so that they reach the Parquet scan.
+        """
+        out, lead = entries, self.fields[0]
+        for bound, above in ((low, True), (high, False)):
+            if bound is None:
+                continue
+            if lead.type != "VARCHAR" and bound[0] is not None:
+                plain = F.col(lead.name) >= F.lit(bound[0]) if above else F.col(lead.name) <= F.lit(bound[0])
+                out = out.where(plain if above or not lead.nullable else plain | F.col(lead.name).isNull())
+            inside, equal = F.lit(False), F.lit(True)
+            for f, c, v in zip(self.fields, self._sorts(), bound):
+                if v is None:
+                    beyond, same = (c.isNotNull() if above else F.lit(False)), c.isNull()
+                else:
+                    x = F.lit(fold_text(v) if f.type == "VARCHAR" else v)
+                    beyond = F.coalesce(c > x if above else c < x, F.lit(not above))
+                    same = F.coalesce(c == x, F.lit(False))
+                inside, equal = inside | (equal & beyond), equal & same
+            out = out.where(inside | equal)
+        return out.orderBy(*self._sorts(), "tid")

@@ -9,7 +9,7 @@ each column; one shuffle on the tid, combined map-side, as all aggregates are ``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,14 +83,48 @@ def conflicts(stamp: Column, start: int, me: int) -> Column:
     return F.when(stamp >= OPEN, stamp != me + OPEN).otherwise(stamp > start)
 
 
-def accepted(operations: DataFrame, key: str, *order: str) -> DataFrame:
+#: Operations that a slice of the history has at most, about; a key's operations in one slice
+#: are one task's.
+SLICE = 5_000_000
+
+
+def earlier(rows: DataFrame, key: str, order: list[str], value: Column, how: str, name: str, rows_a_slice: int = SLICE) -> DataFrame:
+    """``rows`` with a column ``name``: of the rows of the same key that come before in ``order``,
+    the last value that is not null (``how`` "last") or the largest ("max").
+
+    A key may have a third of all rows. So the history is cut into slices of about equal numbers
+    of rows by the first column of ``order``; a window sees a key's rows of one slice, and each
+    slice's outcome (one row for a key and slice) is carried into the later ones.
+    """
+    first = F.col(order[0])
+    n = rows.count()
+    slices = max(1, -(-n // rows_a_slice))
+    within = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+
+    def of(c: Column, w) -> Column:
+        return F.last(c, ignorenulls=True).over(w) if how == "last" else F.max(c).over(w)
+
+    if slices == 1:
+        return rows.withColumn("_slice", F.lit(0)).withColumn(name, of(value, within)).drop("_slice")
+    cuts = rows.agg(F.percentile_approx(first.cast("double"), [i / slices for i in range(1, slices)], 10_000)).first()[0]
+    marks = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+    sliced = rows.withColumn("_slice", F.size(F.filter(marks, lambda c: c <= first.cast("double"))))
+    at = F.struct(*order)
+    outcome = F.max_by(value, F.when(value.isNotNull(), at)) if how == "last" else F.max(value)
+    carried = sliced.groupBy(key, "_slice").agg(outcome.alias("_of")).withColumn("_carried", of(F.col("_of"), before)).drop("_of")
+    mine = of(value, within)
+    out = sliced.withColumn("_mine", mine).join(carried, [key, "_slice"], "left")
+    both = F.coalesce("_mine", "_carried") if how == "last" else F.greatest("_mine", "_carried")
+    return out.withColumn(name, both).select(*rows.columns, name)
+
+
+def accepted(operations: DataFrame, key: str, *order: str, rows_a_slice: int = SLICE) -> DataFrame:
     """Operations with ``ok``: an insert needs the key dead, updates and deletes need it live.
 
     The latest earlier insert or delete decides, whether it was itself accepted or not.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("op").isin(INSERT, DELETE), F.col("op")), ignorenulls=True).over(w)
-    live = F.coalesce(last == INSERT, F.lit(False))
-    return operations.withColumn("ok", F.when(F.col("op") == INSERT, ~live).otherwise(live))
+    bears = F.when(F.col("op").isin(INSERT, DELETE), F.col("op"))
+    judged = earlier(operations, key, list(order), bears, "last", "_last", rows_a_slice)
+    live = F.coalesce(F.col("_last") == INSERT, F.lit(False))
+    return judged.withColumn("ok", F.when(F.col("op") == INSERT, ~live).otherwise(live)).drop("_last")

@@ -7,49 +7,17 @@ extensions, what Spark gives on top.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import keys as K
-from palimpsest.functions.types import Field, fields_of
+from palimpsest.functions.types import TYPE_OIDS, TYPES, Field
 from palimpsest.operators import versions as V
-from palimpsest.operators.catalog import SYSTEM_TABLES, Catalog
+from palimpsest.operators.catalog import SYSTEM_TABLES
 from palimpsest.operators.index import KeyIndex, folded_columns
-from palimpsest.operators.transactions import Engine
+from palimpsest.plans.registry import once, query, table
 from palimpsest.sources import pages
-
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession):
-    """Writes a table to the shared folder and reads it back."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/palimpsest"
-
-    def write(df: DataFrame) -> DataFrame:
-        path = f"{root.rstrip('/')}/numbered-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return write
-
+from palimpsest.sources.scratch import scratch
 
 # --- index: lookups, duplicates, uniqueness, deletion ---
 
@@ -65,23 +33,41 @@ WHERE o_orderkey = 7 AND lower(o_orderpriority) = (SELECT lower(o_orderpriority)
 def index_point_get(spark, sf_dir):
     """Equality on the whole composite key, then a projection; the number reaches the scan."""
     orders = table(spark, sf_dir, "orders")
-    own = orders.where("o_orderkey = 7").select(F.upper("o_orderpriority").alias("p")).limit(1)
-    hit = orders.where("o_orderkey = 7").join(own, K.fold(F.col("o_orderpriority")) == K.fold(F.col("p")), "left_semi")
-    return hit.select("o_orderkey", "o_custkey", "o_totalprice")
+    own = orders.where("o_orderkey = 7").select("o_orderpriority").first()
+    return KeyIndex(ORDER_KEY).matching(orders, 7, own[0].upper() if own else None).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@once
 def lines(spark, sf_dir) -> DataFrame:
-    """lineitem with its tid: rows are numbered in the order of all columns."""
-    return pages.numbered(table(spark, sf_dir, "lineitem"), *LINE_COLUMNS, scratch=scratch(spark), name="tid")
+    """lineitem with its tid: rows are numbered in the order of all columns, once, and stored."""
+    return scratch(spark)(pages.numbered(table(spark, sf_dir, "lineitem"), *LINE_COLUMNS, scratch=scratch(spark), name="tid"))
 
 
 _LINES = f"(SELECT *, row_number() OVER (ORDER BY {', '.join(c + ' NULLS FIRST' for c in LINE_COLUMNS)}) AS tid FROM lineitem)"
 
 
-@query(f"SELECT l_orderkey, l_linenumber, tid FROM {_LINES} WHERE l_linenumber = 1 AND l_orderkey % 10 = 0")
+@query(f"SELECT l_orderkey, l_linenumber, tid FROM {_LINES} QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1")
 def index_get_duplicates(spark, sf_dir):
     """Every tid of keys that several rows have."""
-    return lines(spark, sf_dir).where("l_linenumber = 1 and l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "tid")
+    entries = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "tid")
+    twice = KeyIndex(LINE_KEY).violations(entries)
+    return entries.join(twice.drop("owners"), ["l_orderkey", "l_linenumber"], "left_semi")
+
+
+@query(f"SELECT tid FROM {_LINES} WHERE l_linenumber = 1 AND l_orderkey = (SELECT min(l_orderkey) FROM lineitem WHERE l_linenumber = 1)")
+def index_get(spark, sf_dir):
+    """The tids of one whole key, through the index."""
+    entries = lines(spark, sf_dir)
+    return KeyIndex(LINE_KEY).get(entries, entries.where("l_linenumber = 1").agg(F.min("l_orderkey")).first()[0], 1)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, count(*) AS entries, min(tid) AS first_tid FROM {_LINES} GROUP BY ALL")
+def index_insert(spark, sf_dir):
+    """Entries of one load after another: those of equal keys accumulate."""
+    rows = lines(spark, sf_dir)
+    index = KeyIndex(LINE_KEY)
+    entries = index.insert(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag <> 'R'"))
+    return entries.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("entries"), F.min("tid").alias("first_tid"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS owners FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -124,15 +110,76 @@ def key_encode_bigint(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.hex(K.encode_signed(F.col("c_custkey") - 500, 8)).alias("k"))
 
 
-@query("SELECT o_orderkey, true AS same_order FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_totalprice, o_orderkey) AS place FROM orders")
 def key_order_equivalence(spark, sf_dir):
-    """Rows in the order of their key bytes against the order of their values, place by place."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    """The places of rows in the order of their key bytes are those by value."""
     fields = [Field("o_custkey", "BIGINT"), Field("o_totalprice", "DOUBLE"), Field("o_orderkey", "BIGINT")]
-    write = scratch(spark)
-    by_bytes = pages.numbered(orders.withColumn("k", K.composite(fields)).select("k", "o_orderkey"), "k", scratch=write, name="a")
-    by_value = pages.numbered(orders, "o_custkey", "o_totalprice", "o_orderkey", scratch=write, name="b")
-    return by_bytes.select("o_orderkey", "a").join(by_value.select("o_orderkey", "b"), "o_orderkey").select("o_orderkey", (F.col("a") == F.col("b")).alias("same_order"))
+    keyed = table(spark, sf_dir, "orders").select(K.composite(fields).alias("k"), "o_orderkey")
+    return pages.numbered(keyed, "k", scratch=scratch(spark), name="place").select("o_orderkey", "place")
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place FROM orders")
+def index_order(spark, sf_dir):
+    """Entries in the index's own order."""
+    entries = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderkey").alias("tid"))
+    placed = pages.numbered_from(KeyIndex([Field("o_custkey", "BIGINT")]).ordered(entries), scratch=scratch(spark), name="place")[0]
+    return placed.drop("tid")
+
+
+@query("SELECT o_orderkey, printf('%08X', o_custkey) AS k4, printf('%016X', o_custkey) AS k8, printf('%02X', o_orderkey % 256) AS k1 FROM orders")
+def key_encode_unsigned(spark, sf_dir):
+    c = F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.hex(K.encode_unsigned(c, 4)).alias("k4"), F.hex(K.encode_unsigned(c, 8)).alias("k8"), F.hex(K.encode_unsigned(F.col("o_orderkey") % 256, 1)).alias("k1"))
+
+
+@query("SELECT p_partkey, hex(lower(p_brand)) || '00' AS k, CASE WHEN p_size % 3 = 0 THEN '00' ELSE '01' || hex(lower(p_type)) || '00' END AS nullable_k FROM part")
+def key_encode_text(spark, sf_dir):
+    """Folded text and its end, and the byte that tells null from not null."""
+    kind = F.when(F.col("p_size") % 3 != 0, F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.hex(K.encode_text(F.col("p_brand"))).alias("k"), F.hex(K.encode_nullable(kind, "VARCHAR")).alias("nullable_k"))
+
+
+@query("SELECT o_orderkey, list_aggregate(list_reverse(regexp_extract_all(printf('%016X', o_orderkey), '..')), 'string_agg', '') AS swapped, list_aggregate(list_reverse(regexp_extract_all(printf('%08X', o_custkey), '..')), 'string_agg', '') AS swapped4 FROM orders")
+def byte_swaps(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", K.byte_swap(F.col("o_orderkey"), 8).alias("swapped"), K.byte_swap(F.col("o_custkey"), 4).alias("swapped4"))
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey, l_linenumber, l_orderkey::HUGEINT * 1000003 + l_linenumber AS x FROM lineitem),
+c AS (SELECT *, xor(x, x >> 33) AS y FROM a),
+d AS (SELECT *, (y * 3981806797::HUGEINT + (y * 4283543511::HUGEINT % 4294967296) * 4294967296) % 18446744073709551616::HUGEINT AS z FROM c),
+e AS (SELECT *, xor(z, z >> 33) AS y2 FROM d),
+f AS (SELECT *, (y2 * 444984403::HUGEINT + (y2 * 3301882366::HUGEINT % 4294967296) * 4294967296) % 18446744073709551616::HUGEINT AS z2 FROM e),
+g AS (SELECT *, xor(z2, z2 >> 33) AS m FROM f)
+SELECT l_orderkey, l_linenumber, printf('%016X', m::UBIGINT) AS mixed FROM g"""
+)
+def murmur_mix64(spark, sf_dir):
+    """The 64-bit finalizer, bit for bit."""
+    x = F.col("l_orderkey") * 1000003 + F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lpad(F.hex(K.mix64(x)), 16, "0").alias("mixed"))
+
+
+@query(
+    """WITH a AS (SELECT o_orderkey, o_custkey::UBIGINT AS x FROM orders),
+b AS (SELECT *, (xor(x, x >> 16)::HUGEINT * 2246822507 % 4294967296)::UBIGINT AS y FROM a),
+c AS (SELECT *, (xor(y, y >> 13)::HUGEINT * 3266489909 % 4294967296)::UBIGINT AS z FROM b)
+SELECT o_orderkey, xor(z, z >> 16)::BIGINT AS mixed FROM c"""
+)
+def murmur_mix32(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", K.mix32(F.col("o_custkey")).alias("mixed"))
+
+
+@query("SELECT o_orderkey, (ceil(o_custkey / 8) * 8)::BIGINT AS up, (floor(o_custkey / 8) * 8)::BIGINT AS down FROM orders")
+def alignments(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", K.align_up(F.col("o_custkey"), 8).alias("up"), K.align_down(F.col("o_custkey"), 8).alias("down"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('BOOLEAN', 1, 1), ('TINYINT', 1, 2), ('SMALLINT', 2, 3), ('INTEGER', 4, 4), ('BIGINT', 8, 5), ('UTINYINT', 1, 6), ('USMALLINT', 2, 7),
+('UINTEGER', 4, 8), ('UBIGINT', 8, 9), ('DOUBLE', 8, 10), ('VARCHAR', 16, 11), ('VARBINARY', 16, 12)) t(name, width, oid)"""
+)
+def type_widths(spark, sf_dir):
+    return spark.createDataFrame([(t.name, t.width, TYPE_OIDS[t.name]) for t in TYPES.values()], "name string, width int, oid int")
 
 
 @query("SELECT nfc_normalize(lower(p_type)) AS folded, count(*) AS n FROM part GROUP BY 1")
@@ -183,19 +230,26 @@ def fsm_page_assign(spark, sf_dir):
 ('pg_index', [4,4,1,1,1,1,1,1,1,1]), ('pg_type', [4,16,4,2,1,1]), ('pg_constraint', [4,16,4,1,1,1,1,4,4,4]), ('pg_language', [4,16,1,1,4,4,4]),
 ('pg_proc', [4,16,4,4,8,8,4,1,1,1,1,1,2,2,4,16,16,16,16,16,16,16]))
 SELECT name, list_sum(widths)::BIGINT AS row_bytes, ((8192 - 4 - (list_sum(widths) - len(widths))) * 8 // (1 + 8 * list_sum(widths)))::BIGINT AS max_rows,
-CASE name WHEN 'pg_database' THEN 204 WHEN 'pg_namespace' THEN 204 WHEN 'pg_class' THEN 93 WHEN 'pg_attribute' THEN 102 WHEN 'pg_index' THEN 93 WHEN 'pg_type' THEN 113
-WHEN 'pg_constraint' THEN 73 WHEN 'pg_language' THEN 93 ELSE 25 END::BIGINT AS rows_per_page FROM t"""
+(8188 // (ceil(list_reduce([8 + 6 * len(widths)] || widths, lambda a, w: (ceil(a / least(w, 8)) * least(w, 8))::BIGINT + w) / 8) * 8)::BIGINT)::BIGINT AS rows_per_page FROM t"""
 )
 def pax_capacity(spark, sf_dir):
     made = [(n, pages.page_layout(f).row_bytes, pages.page_layout(f).max_rows, pages.rows_per_page(pages.row_chunk_bytes(f))) for n, f in SYSTEM_TABLES.items()]
     return spark.createDataFrame(made, "name string, row_bytes long, max_rows long, rows_per_page long")
 
 
-@query(f"SELECT tid, (4 + (tid - 1) // 8)::BIGINT AS byte, ((tid - 1) % 8)::BIGINT AS bit FROM {_LINES} WHERE l_returnflag = 'R' AND tid <= 5000")
+_LINE_FIELDS = [Field("l_orderkey", "BIGINT"), Field("l_linenumber", "INTEGER"), Field("l_quantity", "DOUBLE"), Field("l_returnflag", "VARCHAR")]
+_LINES_PER_PAGE = pages.page_layout(_LINE_FIELDS).max_rows
+
+
+@query(
+    f"""SELECT tid, (tid - 1) // {_LINES_PER_PAGE} AS page, (4 + (tid - 1) % {_LINES_PER_PAGE} // 8)::BIGINT AS byte, ((tid - 1) % {_LINES_PER_PAGE} % 8)::BIGINT AS bit
+FROM {_LINES} WHERE l_returnflag = 'R'"""
+)
 def tombstone_bits(spark, sf_dir):
-    """Where the tombstone of each of a page's rows lies."""
-    byte, bit = pages.tombstone(F.col("tid") - 1)
-    return lines(spark, sf_dir).where("l_returnflag = 'R' and tid <= 5000").select("tid", byte.alias("byte"), bit.alias("bit"))
+    """Where the tombstone of each returned line lies in its page."""
+    place = F.col("tid") - 1
+    byte, bit = pages.tombstone(F.pmod(place, F.lit(_LINES_PER_PAGE)))
+    return lines(spark, sf_dir).where("l_returnflag = 'R'").select("tid", F.floor(place / _LINES_PER_PAGE).alias("page"), byte.alias("byte"), bit.alias("bit"))
 
 
 # --- versions ---
@@ -294,13 +348,6 @@ def own_writes_visible(spark, sf_dir):
     return V.fold(log.unionByName(mine).unionByName(others), ["value", "props"], middle, me)
 
 
-@query(f"WITH {_HISTORY}, {_FOLD} SELECT tid, value.v AS value, props.v AS props FROM folded WHERE head <> 'D'")
-def abort_restores(spark, sf_dir):
-    """Rows of a transaction that aborted are in no commit, so the values from before are back."""
-    log, middle = history(spark, sf_dir)
-    return V.fold(log.unionByName(own_rows(spark, sf_dir, log, 1 << 40)), ["value", "props"], middle)
-
-
 @query(
     f"""WITH {_HISTORY}, heads AS (SELECT user_id AS tid, arg_max(op, event_id) AS op, max(event_id) AS stamp FROM log GROUP BY user_id)
 SELECT tid, CASE WHEN tid % 5 = 0 THEN 'open' WHEN tid % 7 = 0 THEN 'own' ELSE 'committed' END AS writer,
@@ -334,108 +381,29 @@ def tid_for_modify(spark, sf_dir):
 SELECT a.txn, a.k FROM t a WHERE EXISTS (SELECT 1 FROM t b WHERE b.k = a.k AND b.start_ts < a.start_ts AND b.end_ts > a.start_ts)"""
 )
 def first_updater_wins(spark, sf_dir):
-    """Of transactions that overlap on a key, those that another had written first. A window
-    per key finds the latest earlier end, without laying the key's rows against each other."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("k").orderBy("start_ts").rowsBetween(Window.unboundedPreceding, -1)
+    """Of transactions that overlap on a key, those that another had written first: the latest
+    earlier end of the key tells, without laying the key's rows against each other."""
     t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txn"), F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("start_ts"), (F.col("o_orderkey") + 200).alias("end_ts"))
-    return t.withColumn("before", F.max("end_ts").over(w)).where("before > start_ts").select("txn", "k")
+    return V.earlier(t, "k", ["start_ts"], F.col("end_ts"), "max", "before").where("before > start_ts").select("txn", "k")
 
 
 @query(f"WITH {_HISTORY} SELECT user_id AS tid, arg_max(op, commit_ts) = 'D' AS free FROM log, cut WHERE commit_ts <= s GROUP BY user_id")
 def unique_key_free(spark, sf_dir):
-    """Whether each key's owner leaves it free: its newest version is a deletion in the snapshot."""
+    """Whether each key's owner leaves it free for a transaction of the middle."""
     log, middle = history(spark, sf_dir)
-    head = V.heads(log.where(F.col("commit_ts") <= middle))
-    return head.select("tid", ((F.col("op") == V.DELETE) & ~V.conflicts(F.col("stamp"), middle, 1 << 40)).alias("free"))
+    owners = V.heads(log.where(F.col("commit_ts") <= middle))
+    return KeyIndex([Field("tid", "BIGINT")], True).key_states(owners, middle, 1 << 40)
 
 
-@query(f"WITH {_HISTORY}, {_FOLD} SELECT tid FROM folded WHERE head <> 'D' ORDER BY tid LIMIT 20")
-def slot_scan_first_n(spark, sf_dir):
-    """The first 20 slots; the number is the feature."""
+@query(f"WITH {_HISTORY} SELECT user_id AS k, user_id + 1000000 AS tid FROM log, cut GROUP BY user_id HAVING arg_max(op, commit_ts) = 'D' AND max(commit_ts) <= max(s) + max(s) // 2")
+def insert_unique_rows(spark, sf_dir):
+    """New entries for keys whose owner was deleted before the transaction began."""
     log, middle = history(spark, sf_dir)
-    return V.fold(log, ["value"], middle).select("tid").orderBy("tid").limit(20)
-
-
-# --- catalog ---
-
-
-def catalog_of(spark, sf_dir):
-    """A new engine in the shared folder whose catalog has the driver's tables."""
-    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/palimpsest").rstrip("/")
-    engine = Engine(spark, f"{root}/catalog-{uuid.uuid4().hex}")
-    catalog = Catalog(engine)
-    with engine.begin() as txn:
-        db = catalog.create_database(txn, "bench")
-        public = db.create_namespace(txn, "public")
-        db.create_tables(txn, public, [(t, fields_of(table(spark, sf_dir, t).schema)) for t in TABLES])
-    return engine, catalog, db
-
-
-_shared: dict[tuple[str, str], tuple] = {}
-
-
-def shared_catalog(spark, sf_dir):
-    """One such engine for the queries of an application that only read it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _shared:
-        _shared[key] = catalog_of(spark, sf_dir)
-    return _shared[key]
-
-
-_CLASSES = f"(SELECT row_number() OVER ()::INTEGER AS reloid, name AS relname FROM (SELECT unnest({TABLES!r}) AS name))"
-
-
-@query(f"SELECT reloid, relname, 1::INTEGER AS relnamespace, 'r' AS relkind FROM {_CLASSES}")
-def ddl_catalog_classes(spark, sf_dir):
-    engine, _, db = shared_catalog(spark, sf_dir)
-    found = db.select(engine.begin(), "pg_class")
-    return found.select("reloid", "relname", "relnamespace", F.char(F.col("relkind").cast("int")).alias("relkind"))
-
-
-@query(
-    f"""SELECT c.reloid AS attrelid, k.column_name AS attname,
-CASE WHEN k.data_type = 'INTEGER' THEN 4 WHEN k.data_type IN ('BIGINT', 'DOUBLE') THEN 8 ELSE 16 END::SMALLINT AS attlen
-FROM {_CLASSES} c JOIN information_schema.columns k ON k.table_name = c.relname"""
-)
-def ddl_catalog_attributes(spark, sf_dir):
-    engine, _, db = shared_catalog(spark, sf_dir)
-    return db.select(engine.begin(), "pg_attribute").select("attrelid", "attname", "attlen")
-
-
-@query("SELECT 'namespace' AS what, true AS found UNION ALL SELECT 'relation', true UNION ALL SELECT 'no namespace', false UNION ALL SELECT 'no relation', false")
-def ddl_exists_checks(spark, sf_dir):
-    engine, _, db = shared_catalog(spark, sf_dir)
-    txn = engine.begin()
-    wanted = spark.createDataFrame([("namespace", 1), ("relation", 14), ("no namespace", 9), ("no relation", 15)], "what string, oid int")
-    there = db.select(txn, "pg_namespace").select(F.lit("namespace").alias("kind"), F.col("nspoid").alias("oid")).union(db.select(txn, "pg_class").select(F.lit("relation"), "reloid"))
-    asked = wanted.withColumn("kind", F.element_at(F.split("what", " "), -1))
-    hits = asked.join(there, ["kind", "oid"], "left_semi").select("what", F.lit(True).alias("found"))
-    return hits.union(asked.join(there, ["kind", "oid"], "left_anti").select("what", F.lit(False)))
-
-
-@query(f"SELECT reloid, CASE relname WHEN 'orders' THEN 'purchases' ELSE relname END AS relname, 'r' AS relkind FROM {_CLASSES}")
-def rename_keeps_oid(spark, sf_dir):
-    engine, _, db = catalog_of(spark, sf_dir)
-    with engine.begin() as txn:
-        db.rename_table(txn, TABLES.index("orders") + 1, "purchases")
-    return db.select(engine.begin(), "pg_class").select("reloid", "relname", F.char(F.col("relkind").cast("int")).alias("relkind"))
-
-
-@query("SELECT c_custkey, true AS visible FROM customer WHERE c_custkey % 2 = 0")
-def table_insert_delete(spark, sf_dir):
-    """A table's life through the engine: insert, delete in a transaction, read the snapshot."""
-    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/palimpsest").rstrip("/")
-    from palimpsest.operators.table import VersionedTable
-
-    engine = Engine(spark, f"{root}/table-{uuid.uuid4().hex}")
-    t = VersionedTable(engine, "customer", [Field("c_custkey", "BIGINT"), Field("c_name", "VARCHAR", 0, True), Field("c_acctbal", "DOUBLE", 0, True)])
-    with engine.begin() as txn:
-        t.insert(txn, table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), order=["c_custkey"])
-    with engine.begin() as txn:
-        t.delete(txn, t.snapshot(txn).where("c_custkey % 2 = 1").select("tid"))
-    return t.snapshot(engine.begin()).select("c_custkey", F.lit(True).alias("visible"))
+    start = middle + middle // 2
+    owners = V.heads(log).withColumnRenamed("tid", "k")
+    index = KeyIndex([Field("k", "BIGINT")], True)
+    free = index.key_states(owners, start, 1 << 40).where("free")
+    return index.insert_unique(owners, free.select("k", (F.col("k") + 1000000).alias("tid")), start, 1 << 40)
 
 
 # --- extensions ---
@@ -443,8 +411,9 @@ def table_insert_delete(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 199")
 def ext_index_range(spark, sf_dir):
-    """Range scan; the bounds reach the Parquet scan."""
-    return table(spark, sf_dir, "orders").where(F.col("o_orderkey").between(100, 199)).select("o_orderkey", "o_totalprice").orderBy("o_orderkey")
+    """Range scan of an index; the bounds reach the Parquet scan."""
+    entries = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderkey").alias("tid"))
+    return KeyIndex([Field("o_orderkey", "BIGINT")]).range(entries, (100,), (199,)).select("o_orderkey", "o_totalprice")
 
 
 @query(f"WITH {_HISTORY}, {_FOLD} SELECT event_type, count(*) AS n, count(DISTINCT tid) AS users FROM folded JOIN events ON user_id = tid WHERE head <> 'D' GROUP BY event_type")

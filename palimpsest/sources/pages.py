@@ -71,13 +71,19 @@ def tombstone(ordinal: Column) -> tuple[Column, Column]:
 
 
 def numbered(df: DataFrame, *order: str, scratch, name: str = "ordinal") -> DataFrame:
-    """``df`` with its rows' 1-based places in a total order, without a single-task window.
+    """``df`` with its rows' 1-based places in a total order, without a single-task window."""
+    return numbered_from(df, *order, scratch=scratch, name=name)[0]
 
-    Rows are range-partitioned and sorted by ``order`` and written once by ``scratch``; each
+
+def numbered_from(df: DataFrame, *order: str, scratch, name: str = "ordinal") -> tuple[DataFrame, int]:
+    """``numbered``, and the number of rows. Without an ``order`` rows are numbered as they lie in
+    their partitions, with no exchange.
+
+    Rows are (range-partitioned and sorted by ``order`` and) written once by ``scratch``; each
     partition's number of rows (one number for each partition) shifts its rows' places.
     """
     at = F.monotonically_increasing_id()
-    placed = scratch(df.orderBy(*order).withColumn("_at", at))
+    placed = scratch((df.orderBy(*order) if order else df).withColumn("_at", at))
     part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted((r.p, r.n) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     shifts, total = [], 0
@@ -85,6 +91,6 @@ def numbered(df: DataFrame, *order: str, scratch, name: str = "ordinal") -> Data
         shifts.append((p, total))
         total += n
     if not shifts:
-        return placed.withColumn(name, F.lit(None).cast("bigint")).drop("_at")
+        return placed.withColumn(name, F.lit(None).cast("bigint")).drop("_at"), 0
     table = F.broadcast(df.sparkSession.createDataFrame(shifts, "_p long, _shift long"))  # a row for each partition
-    return placed.withColumn("_p", part).join(table, "_p").withColumn(name, F.col("_shift") + row + 1).drop("_at", "_p", "_shift")
+    return placed.withColumn("_p", part).join(table, "_p").withColumn(name, F.col("_shift") + row + 1).drop("_at", "_p", "_shift"), total

@@ -26,6 +26,10 @@ class RelationStore:
         fs, p = self._fs(self.path(name))
         return fs.exists(p)
 
+    def exists_path(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
     def create(self, name: str, schema: T.StructType) -> DataFrame:
         """A new, empty relation; raises if there is one of that name."""
         if self.exists(name):
@@ -76,6 +80,7 @@ class RelationStore:
     def mark(self, path: str) -> bool:
         """Creates an empty file if it isn't there; tells whether it did."""
         fs, p = self._fs(path)
+        fs.mkdirs(p.getParent())
         return fs.createNewFile(p)
 
     def names(self, folder: str) -> list[str]:

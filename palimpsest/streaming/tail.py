@@ -14,8 +14,7 @@ def tail(table: VersionedTable, max_files: int = 64) -> DataFrame:
     Files of a transaction are moved in just before its commit marker; a consumer that must not
     see a crashed commit's rows joins them with ``Engine.commits`` in ``foreachBatch``.
     """
-    path = f"{table.engine.store.path(table.name)}/log"
-    return table.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    return table.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files).parquet(table.log_path())
 
 
 def windowed_counts(events: DataFrame, ts: str, kind: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

@@ -120,12 +120,24 @@ def test_fold_is_canonical(s):
     assert K.fold_text(K.fold_text(s)) == unicodedata.normalize("NFD", K.fold_text(s).casefold())
 
 
+def plain_mix(x, bits):
+    a, b, c, f, g = (33, 33, 33, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53) if bits == 64 else (16, 13, 16, 0x85EBCA6B, 0xC2B2AE35)
+    m = (1 << bits) - 1
+    x &= m
+    x = (x ^ x >> a) * f & m
+    x = (x ^ x >> b) * g & m
+    return x ^ x >> c
+
+
 def test_scalars(spark):
     r = spark.createDataFrame([(3, 9)], "p long, s long").select(K.pack_tid(F.col("p"), F.col("s")).alias("t")).select("t", K.tid_page(F.col("t")).alias("p"), K.tid_slot(F.col("t")).alias("s"), K.tid_of_key(K.encode_unsigned(F.col("t"), 8)).alias("b"), K.byte_swap(F.lit(0x0102), 2).alias("w")).first()
     assert tuple(r) == ((3 << 32) | 9, 3, 9, (3 << 32) | 9, "0201")
     assert K.key_size(FIELDS) == 1 + 4 + 52 + 8 + 8
-    assert (K.align_up(5, 4), K.align_down(7, 4), K.mix64(0), K.mix32(0)) == (8, 4, 0, 0)
-    assert len({K.mix64(i) % 128 for i in range(2000)}) == 128 and K.mix32(1) == 0x514E28B7
+    assert (K.align_up(5, 4), K.align_down(7, 4)) == (8, 4)
+    xs = [0, 1, 2, -1, 1 << 62, -(1 << 63), 12345678901234567]
+    got = spark.createDataFrame([(x,) for x in xs], "x long").select("x", K.mix64(F.col("x")).alias("m"), K.mix32(F.col("x")).alias("n")).collect()
+    assert [(r.m % (1 << 64), r.n) for r in got] == [(plain_mix(r.x, 64), plain_mix(r.x, 32)) for r in got]
+    assert next(r.n for r in got if r.x == 1) == 0x514E28B7
     assert sum(t.width for t in TYPES.values()) == 1 + 15 + 15 + 8 + 32
 
 
@@ -174,3 +186,25 @@ def test_stream_of_a_log(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.k for r in spark.sql("select payload.k from tailed").collect()) == [1, 2]
+
+
+def test_ranges_equal_key_bytes(spark):
+    """Bounds by columns pick what bounds by encoded bytes pick, nulls and NaN included."""
+    fields = [Field("a", "DOUBLE", 0, True), Field("b", "VARCHAR", 0, True), Field("c", "INTEGER")]
+    values = [(a, b, c) for a in (None, -1.5, -0.0, 0.0, 2.0, float("nan")) for b in (None, "", "a", "A", "é", "b") for c in (-1, 3)]
+    entries = spark.createDataFrame([(*v, i) for i, v in enumerate(values)], "a double, b string, c int, tid long")
+    keyed = {r.tid: bytes(r.k) for r in entries.select("tid", K.composite(fields).alias("k")).collect()}
+    index = KeyIndex(fields)
+    for low, high in [(5, 40), (0, 71), (30, 30), (13, 12), (66, 70)]:
+        got = [r.tid for r in index.range(entries, values[low], values[high]).collect()]
+        assert sorted(got) == sorted(t for t, k in keyed.items() if keyed[low] <= k <= keyed[high])
+        assert [keyed[t] for t in got] == sorted(keyed[t] for t in got)
+    assert [r.tid for r in index.ordered(entries).collect()] == sorted(keyed, key=lambda t: (keyed[t], t))
+
+
+def test_bounds_reach_the_scan(spark, tmp_path):
+    spark.range(1000).selectExpr("id as k", "id as tid", "'x' as other").write.parquet(f"{tmp_path}/e")
+    found = KeyIndex([Field("k", "BIGINT")]).range(spark.read.parquet(f"{tmp_path}/e").select("k", "tid"), (5,), (9,))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(k,5)" in plan and "LessThanOrEqual(k,9)" in plan and "other" not in plan and "Python" not in plan
+    assert [r.k for r in found.collect()] == [5, 6, 7, 8, 9]

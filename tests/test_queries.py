@@ -7,16 +7,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from palimpsest.plans import catalogue
+from palimpsest.plans.registry import QUERIES, SQL, TABLES
 
 SF = Path("/root/testdata/sf0.001")
-FAST = [k for k in catalogue.QUERIES if not k.startswith(("ddl_", "rename_"))]
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in catalogue.TABLES:
+    for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -26,15 +25,15 @@ def plain(rows):
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test data")
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, str(SF))
+    df = QUERIES[name](spark, str(SF))
     columns = sorted(df.columns)
-    sql = catalogue.SQL[name]
+    sql = SQL[name]
     assert columns == sorted(duck.sql(sql).columns)
     assert plain(df.select(*columns).collect()) == plain(duck.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())
 
 
 def test_entry_points():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalogue.SQL) == set(catalogue.QUERIES)
+    assert set(SQL) == set(QUERIES)
