@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions.errors import NotNullViolation, NumericOutOfRange, UndefinedColumn, WriteConflict
 from palimpsest.functions.types import TYPES, Field, missing, out_of_range, schema_of
@@ -82,7 +83,9 @@ class VersionedTable:
     # writes
 
     def _last_tid(self) -> int | None:
-        if self.name not in self.engine.last_tid:
+        if self.name not in self.engine.last_tid and self.is_new():
+            self.engine.last_tid[self.name] = None
+        elif self.name not in self.engine.last_tid:
             self.engine.last_tid[self.name] = self.engine.store.open(f"{self.name}/{self._log_name(self._generation())}", self.schema).agg(F.max("tid")).first()[0]
         return self.engine.last_tid[self.name]
 
@@ -118,6 +121,23 @@ class VersionedTable:
                 self.engine.last_tid[self.name] = (at // self.per_page + 1) << 32 | at % self.per_page
             return made.select("tid", *self.columns)
 
+    def insert_values(self, txn: Transaction, rows: list[tuple]) -> None:
+        """Appends a statement's few rows, made on the driver, in their order: one write."""
+        with self.engine.gate:
+            seq = txn.next_seq()
+            last = self._last_tid()
+            first = (last >> 32) * self.per_page if last is not None else 0
+            tids = [(at // self.per_page + 1) << 32 | at % self.per_page for at in range(first, first + len(rows))]
+            made = self.spark.createDataFrame([(tid, *r) for tid, r in zip(tids, rows)], T.StructType([T.StructField("tid", T.LongType()), *schema_of(self.fields).fields])).coalesce(1)
+            self.stage(txn, self._rows(made, V.INSERT, seq, txn, self.columns))
+            if tids:
+                self.engine.last_tid[self.name] = tids[-1]
+
+    def is_new(self) -> bool:
+        """Whether nothing was ever written, by open transactions either."""
+        store = self.engine.store
+        return not store.names(self.log_path()) and not any(store.names(self._folder(t)) for t in self.engine.open.values())
+
     def _rows(self, df: DataFrame, op: str, seq: int, txn: Transaction | None, columns: list[str]) -> DataFrame:
         payload = F.struct(*[(F.col(f"`{f.name}`") if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema["payload"].dataType.fields])
         return df.select("tid", F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"), F.lit(txn.start if txn else 0).cast("long").alias("txn_id"), F.array(*map(F.lit, columns)).cast("array<string>").alias("set_cols"), payload.alias("payload"))
