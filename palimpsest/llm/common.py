@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where scratch tables go if the session names no spark.checkpoint.dir (tests, one machine).
-LOCAL_SCRATCH = "/tmp/checkpoints/palimpsest"
+from palimpsest.sources.scratch import scratch_folder
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -45,11 +42,6 @@ class Memo(dict):
             self.clear()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where that is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SCRATCH
-
-
 class Workspace:
     """Parquet tables in the shared folder that cut lineage and survive lost executors.
 
@@ -59,7 +51,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = scratch_folder(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
