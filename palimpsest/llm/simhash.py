@@ -6,13 +6,15 @@ first, so copies never meet each other.
 
 Each worker precomputes a table of the Hamming distances from its fingerprints to ``PIVOTS``
 reference fingerprints. By the triangle inequality two fingerprints within d of each other
-differ by at most d in every coordinate of the table; pairs whose largest coordinate
-difference is greater are discarded, and the survivors are verified exactly.
-
-A pivot leaves about half of all unrelated pairs, so the table alone would still enumerate a
-square of the corpus. Which pairs are laid against the table is therefore limited, without
-loss, by the pigeonhole principle: of 5 blocks of a fingerprint two must be equal in any pair
-within 3 bits. Groups of equal blocks with more than ``GROUP`` classes are dealt again by
+differ by at most d in every coordinate of the table. Rows are sorted by their first coordinate,
+so that a row meets only those within d of it there; of these, pairs whose largest coordinate
+difference is greater than d are discarded, and the survivors are verified exactly.
+
+A pivot leaves about half of all unrelated pairs and all pivots together almost none, but to
+deal rows to tasks by k coordinates would copy each about 1.75 ** k times for a factor of
+0.46 ** k in pairs. Which rows come to one task is therefore limited, without loss, by the
+pigeonhole principle: of 5 blocks of a fingerprint two must be equal in any pair within 3 bits.
+Groups of equal blocks with more than ``GROUP`` classes are dealt again by
 blocks of the bits that are still free, of which one must be equal, until a group is small or
 has at most 2 ** 16 values. So no group that a task holds grows with the corpus.
 """
@@ -99,27 +101,36 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 1 << 64, n, dtype=np.uint64)
 
 
-def _pairs(keys: np.ndarray, fps: np.ndarray, max_bits: int, refs: np.ndarray):
-    """Index pairs of equal keys within ``max_bits``, in runs; keys are sorted.
+def _pairs(keys: np.ndarray, fps: np.ndarray, max_bits: int, refs: np.ndarray, tally: list[int] | None = None):
+    """Index pairs of equal keys within ``max_bits``, in runs; rows are sorted by key and then by
+    their distance to the first reference.
 
-    Rows are laid against the row ``gap`` further on, for all gaps that some key's group has.
+    Rows are laid against the row ``gap`` further on, as long as that has the key and a first
+    distance within ``max_bits``. ``tally`` takes up the pairs met, left by the table, and left
+    by the exact check.
     """
     table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
-    a = np.flatnonzero(keys[1:] == keys[:-1]) if len(keys) > 1 else np.empty(0, np.int64)
+    first = table[:, 0]
+    a = np.arange(len(keys) - 1)
     gap = 1
     while len(a):
+        a = a[a + gap < len(keys)]
+        # beyond the first row that is too far, all are
+        a = a[(keys[a] == keys[a + gap]) & (first[a + gap] - first[a] <= max_bits)]
         left, right = a, a + gap
-        for j in range(len(refs)):
+        met = len(left)
+        for j in range(1, len(refs)):
             near = np.abs(table[left, j] - table[right, j]) <= max_bits
             left, right = left[near], right[near]
-            if len(left) < 16:
+            if not len(left):
                 break
         near = np.bitwise_count(fps[left] ^ fps[right]) <= max_bits
+        if tally is not None:
+            for i, n in enumerate((met, len(left), int(near.sum()))):
+                tally[i] += n
         if near.any():
             yield left[near], right[near]
         gap += 1
-        a = a[a + gap < len(keys)]
-        a = a[keys[a] == keys[a + gap]]
 
 
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,7 +156,7 @@ def near_links(keyed: DataFrame, max_bits: int = MAX_BITS, n_pivots: int = PIVOT
         held_k, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
 
         def links(keys, fps):
-            order = np.lexsort((fps, keys))
+            order = np.lexsort((fps, np.bitwise_count(fps ^ refs[0]), keys))
             keys, fps = keys[order], fps[order]
             label = np.arange(len(keys))
             for a, b in _pairs(keys, fps, max_bits, refs):

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -60,6 +61,22 @@ def chains(rng, n):
     return out[:n]
 
 
+def test_the_table_discards_and_loses_nothing():
+    """Within one group: of all pairs few are met, of those almost none reach the exact check."""
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 1 << 64, 900, dtype=np.uint64)
+    near = fps[:60] ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64))
+    fps = np.unique(np.concatenate([fps, near]))
+    refs = S.pivots()
+    fps = fps[np.lexsort((fps, np.bitwise_count(fps ^ refs[0])))]
+    tally = [0, 0, 0]
+    found = {(min(a, b), max(a, b)) for x, y in S._pairs(np.zeros(len(fps), np.int64), fps, 3, refs, tally) for a, b in zip(x.tolist(), y.tolist())}
+    distance = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    assert found == {(int(a), int(b)) for a, b in zip(*np.nonzero(distance <= 3)) if a < b} and len(found) >= 50
+    every = len(fps) * (len(fps) - 1) // 2
+    assert tally[0] < 0.6 * every and tally[1] < 0.001 * every and tally[2] == len(found)
+
+
 def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
