@@ -3,12 +3,15 @@
 A word, with a mark before it, is a lattice whose arcs are the pieces of an existing
 vocabulary. Its probability is the sum over all segmentations, by a forward recursion in log
 space. A segmentation is a first piece (one that starts with the mark), then for each further
-piece a decision to go on and the piece, then the decision to stop. The pieces' weights start
-from the vocabulary's own scores, which rank the pieces (a piece of rank r weighs
-1 / (r + 20)), and are re-estimated from the training words by ``ROUNDS`` of expected counts,
-with the starting weights as a prior. Words of the training documents also have one arc of
-their own, the whole word, weighted by its count; the share of the lattice's other arcs is
-the chance of a new word by Good and Turing (words seen once per token).
+piece a decision to go on and the piece, then the decision to stop. A text is a sequence of
+words and one end; each token is the end with the share that ends have among the training
+tokens. So a text's probability is the product of its words' marginals and these decisions, and
+nothing but the lattice scores a word, known or new.
+
+The vocabulary's own scores weigh the pieces: a unigram vocabulary's are log probabilities, a
+merge vocabulary's are ranks, of which r weighs 1 / (r + 20). The training words' expected counts
+of pieces, over all segmentations and all tokens, are added to these weights as to a prior of
+``PRIOR`` pieces, ``ROUNDS`` times.
 
 Word counts and piece counts cover the whole corpus and are aggregated in the cluster. The
 at most ``HOT`` most frequent words are sent to the workers; the rest meet their counts in a
@@ -79,11 +82,13 @@ class Lattice:
         self.initial = np.zeros(size + 1, bool)
         for p, i in self.pieces.items():
             self.initial[i] = p[0] == MARK
-        ranked = sorted(self.pieces.values(), key=lambda i: (-sp.get_score(i), i))
+        used = sorted(self.pieces.values())
+        score = np.array([sp.get_score(i) for i in used])
         self.start = np.zeros(size + 1)
-        for rank, i in enumerate(ranked):
-            self.start[i] = 1 / (rank + 20)
-        self.start[size] = self.start[ranked[-1]]
+        # ranks are whole numbers down from 0; log probabilities are not
+        ranks = bool((score == np.round(score)).all())
+        self.start[used] = 1 / (20 - score) if ranks else np.exp(score)
+        self.start[size] = self.start[used].min()
         self.weights = self.estimate(np.zeros(size + 1), 0.0) if weights is None else weights
 
     def estimate(self, counts: np.ndarray, words: float) -> np.ndarray:
@@ -230,17 +235,18 @@ def lattice_score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     Tokens are the words and one end. Null and wordless texts are the end alone. base_score is
     the smoothed unigram score, score the lattice's, both log10. Rows that share an id each
     come back; a null id is not held out. Without training tokens the lattice rests on the
-    vocabulary's own scores. Other columns are left out. An empty table gives an empty table.
+    vocabulary's own scores and a token is the end by half. Other columns are left out. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "lm-score")
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     counts = space.write(word_counts(rows, "text", ~F.col("held_out")), "counts")
     ends = rows.where(~F.col("held_out")).count()
-    facts = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
+    facts = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     n = (facts[0] or 0) + ends
     distinct = facts[1] + (ends > 0)
-    fresh = min(0.5, max(1e-6, facts[2] / n)) if n else 0.5
+    # a token is the end with this probability; half a token of each kind is added
+    end = (ends + 0.5) / (n + 1)
     base_of = n + SMOOTH * (distinct + 1)
 
     weights = lattice(model_path).weights
@@ -252,10 +258,7 @@ def lattice_score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         net = lattice(model_path, shared.value)
         for batch in batches:
             words = [w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
-            c = batch.column(1).to_numpy()
-            with np.errstate(divide="ignore"):
-                own = np.log((1 - fresh) * c / n) if n else np.full(len(c), -np.inf)
-            p = np.logaddexp(own, math.log(fresh) + net.log_probability(words)) / LN10
+            p = (math.log(1 - end) + net.log_probability(words)) / LN10
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(p)], names=["word", "c", "p"])
 
     model = space.write(counts.mapInArrow(score, "word binary, c long, p double"), "model")
@@ -270,7 +273,7 @@ def lattice_score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     is_hot = F.coalesce((F.col("c") > 0) & (F.floor(F.log2("c") * 8) >= least), F.lit(False)) if least is not None else F.lit(False)
     few = model.where(is_hot).toArrow()
     table = spark.sparkContext.broadcast((few["word"].to_pylist(), few["c"].to_numpy(), few["p"].to_numpy()))  # at most `hot` rows
-    end_p = math.log10((1 - fresh) * ends / n) if ends else math.log10(0.5)
+    end_p = math.log10(end)
     end_base = math.log10((ends + SMOOTH) / base_of)
 
     def read(batches):
@@ -314,25 +317,25 @@ def lattice_score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 
 def _estimate(counts: DataFrame, model_path: str, weights: np.ndarray) -> np.ndarray:
-    """Weights from one round of expected counts over all distinct training words, each once:
-    the pieces' arcs stand for words that are new, and those resemble rare ones."""
+    """Weights from one round of expected counts over all training tokens."""
     shared = counts.sparkSession.sparkContext.broadcast(weights)
 
     def expect(batches):
         net = lattice(model_path, shared.value)
-        total, words = np.zeros(net.unknown + 1), 0
+        total, words = np.zeros(net.unknown + 1), 0.0
         for batch in batches:
             found = [w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
-            total += net.expected(found, np.ones(len(found)))
-            words += len(found)
+            times = batch.column(1).to_numpy().astype(float)
+            total += net.expected(found, times)
+            words += times.sum()
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array([-1, *some.tolist()], pa.int32()), pa.array([float(words), *total[some].tolist()])], names=["piece", "n"])
 
-    found = counts.where("c > 0").select("word").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    found = counts.where("c > 0").select("word", "c").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     net = lattice(model_path)
     total = np.zeros(net.unknown + 1)
     words = 0.0
-    for r in found:
+    for r in found:  # a row for each piece
         if r.piece < 0:
             words = r.n
         else:

@@ -110,21 +110,48 @@ def test_base_scores_and_hot_words(spark, hot):
     assert all(r.score == pytest.approx(every[r.doc_id], rel=1e-9) for r in out)
 
 
-def test_word_probabilities(spark):
-    """The score is the sum of the words' own arcs and lattices, and of the end."""
-    rows = [(i, "alpha beta alpha gamma") for i in range(1, 9)] + [(11, "alpha delta")]
-    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
-    assert 11 not in held or len(held) < 9
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.score for r in M.lattice_score(docs, PATH, rounds=0).collect()}
-    train = [t for i, t in rows if i not in held]
-    c = Counter(w for t in train for w in t.split())
-    n = sum(c.values()) + len(train)
-    fresh = min(0.5, max(1e-6, sum(k == 1 for k in c.values()) / n))
-    net = dict(zip(["alpha", "beta", "gamma", "delta"], np.exp(NET.log_probability(["alpha", "beta", "gamma", "delta"]))))
-    for i, t in rows:
-        want = sum(math.log10((1 - fresh) * c[w] / n + fresh * net[w]) for w in t.split()) + math.log10((1 - fresh) * len(train) / n)
-        assert got[i] == pytest.approx(want)
+def plain_score(rows, rounds):
+    """{id: score} by listing every segmentation of every word, counts and weights in dictionaries."""
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    c = Counter(w.decode() for i, t in rows if not held[i] for w in words(t))
+    ends = sum(not h for h in held.values())
+    n = sum(c.values()) + ends
+    weights = NET.weights
+
+    def weigh(seg):
+        return math.exp(weights[-1] + sum(weights[i] - (len(p.encode()) * math.log(256) if i == NET.unknown else 0) for i, p in seg))
+
+    for _ in range(rounds):
+        counts = Counter()
+        for w, k in c.items():
+            segs = [(s, weigh(s)) for s in segmentations(M.MARK + w)]
+            total = sum(p for _, p in segs)
+            for s, p in segs:
+                for i, _ in s:
+                    counts[i] += k * p / total
+        out = np.full(len(weights), -np.inf)
+        used = [i for i in range(NET.unknown + 1) if NET.start[i] > 0]
+        for starts in (True, False):
+            of = [i for i in used if NET.initial[i] == starts]
+            mass = sum(NET.start[i] for i in of)
+            got = {i: counts[i] + M.PRIOR * NET.start[i] / mass for i in of}
+            stop = 0 if starts else sum(c.values()) + M.PRIOR / 2
+            for i in of:
+                out[i] = math.log(got[i] / (sum(got.values()) + stop))
+            if not starts:
+                out[-1] = math.log(stop / (sum(got.values()) + stop))
+        weights = out
+    end = (ends + 0.5) / (n + 1)
+    return {i: math.log10(end) + sum(math.log10(1 - end) + math.log10(sum(weigh(s) for s in segmentations(M.MARK + w.decode()))) for w in words(t)) for i, t in rows}
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_scores_equal_listed_segmentations(spark, rounds):
+    rows = [(i, f"alpha beta alpha gam{'ma' * (i % 3)} Été") for i in range(1, 25)] + [(30, "alpha delta"), (31, None), (32, "new words")]
+    assert len({zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}) == 2
+    got = {r.doc_id: r.score for r in M.lattice_score(spark.createDataFrame(rows, "doc_id long, text string"), PATH, rounds=rounds).collect()}
+    want = plain_score(rows, rounds)
+    assert got == {i: pytest.approx(want[i], rel=1e-9) for i, _ in rows}
 
 
 def test_rows(spark):
