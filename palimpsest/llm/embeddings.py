@@ -6,6 +6,12 @@ near a border is also compared in the ``PROBES`` - 1 next cells, against the vec
 there; links are found only where one of two vectors has the other's cell among its probes,
 so recall is measured (see the tests) rather than certain.
 
+Cells are made on two levels, so that their size does not grow with the table. At most
+``COARSE`` centroids are fitted on a bounded sample. Where such a cell holds more than
+``SPLIT`` times ``CELL`` vectors, tasks fit centroids of its own for each coarse cell, one for each
+``CELL`` members, on a bounded sample of them; a vector then looks at the fine cells of its
+nearest coarse cells and keeps the best few. Every vector is assigned and compared.
+
 Equal vectors form one class with a multiplicity first, so copies never meet each other.
 A cell of more than ``TILE`` classes is split: its rows are dealt into shares and each pair of
 shares is one task's group, so that no task holds more than two shares.
@@ -23,10 +29,13 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import Workspace, connected_components
 
 MIN_COSINE = 0.95
-#: Centroids are fitted on at most so many vectors, those with the least hash of their id.
+#: The centroids of a level, or of one coarse cell, are fitted on about so many vectors at most.
 MAX_SAMPLE = 20_000
-#: Vectors that a cell should have, the most cells, the cells that a vector is compared in.
-CELL, MAX_CELLS, PROBES, TILE, ROUNDS = 500, 2048, 3, 2048, 12
+#: Vectors that a cell should have, the cells that a vector is compared in, rows of a share.
+CELL, PROBES, TILE, ROUNDS = 500, 3, 2048, 12
+#: Most coarse cells, and times ``CELL`` that one may hold before coarse cells are parted; rows that
+#: one task lays against a coarse cell's centroids, and the most such centroids.
+COARSE, SPLIT, LOT, MAX_FINE = 2048, 4, 20_000, 4096
 
 
 def unit(v) -> np.ndarray | None:
@@ -105,7 +114,7 @@ def _group(ids, home, probes, mult, x, cell, diagonal, share, limit):
     return ids, counts, ids[label]
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", min_cosine: float = MIN_COSINE, cell: int = CELL, probes: int = PROBES, tile: int = TILE, max_sample: int = MAX_SAMPLE) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", min_cosine: float = MIN_COSINE, cell: int = CELL, probes: int = PROBES, tile: int = TILE, max_sample: int = MAX_SAMPLE, coarse: int = COARSE) -> DataFrame:
     """(id, n_links, component_id, kept) of each row of ``vectors``.
 
     n_links counts the other rows linked directly, component_id is the least id reachable and
@@ -119,26 +128,25 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     valid = F.coalesce((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("valid", valid)
-    # a class is known by its vector; its number is a hash of it, checked below to be one vector's
-    keyed = rows.withColumn("key", F.when(F.col("valid"), F.xxhash64("v")))
-    classes = keyed.where("valid").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("mult"), F.first("v").alias("v"), F.count_distinct(F.xxhash64(F.lit(3), "v")).alias("kinds"))
-    classes = space.write(classes, "classes")
-    facts = classes.agg(F.count("*"), F.max("kinds"), F.collect_set(F.size("v"))).first()
-    if (facts[1] or 1) > 1:
-        raise RuntimeError("two vectors share a 64-bit hash; add a column that tells them apart")
+    # a class is known by two hashes of its vector, and by a number once it is written
+    h1, h2 = (F.when(F.col("valid"), F.xxhash64(*salt, "v")) for salt in ((), (F.lit(3),)))
+    keyed = rows.withColumn("h1", h1).withColumn("h2", h2)
+    classes = keyed.where("valid").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("mult"), F.first("v").alias("v"))
+    classes = space.write(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
+    facts = classes.agg(F.count("*"), F.collect_set(F.size("v"))).first()
     if not facts[0]:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     centroids, base = {}, 0
-    k = max(1, min(MAX_CELLS, math.ceil(facts[0] / cell)))
-    sample = [unit(v) for v in classes.orderBy(F.xxhash64("key"), "key").limit(max_sample).select("v").toArrow()["v"].to_numpy()]
-    for size in sorted(facts[2]):
+    k = max(1, min(coarse, math.ceil(facts[0] / cell)))
+    sample = [unit(v) for v in classes.orderBy("h1", "h2").limit(max_sample).select("v").toArrow()["v"].to_numpy()]
+    for size in sorted(facts[1]):
         of = np.array([v for v in sample if len(v) == size])
         if len(of):
             centroids[size] = (base, spherical_kmeans(of, k))
         else:  # no vector of this length in the sample: one cell
             centroids[size] = (base, np.zeros((1, size)))
         base += len(centroids[size][1])
-    # bounded: MAX_CELLS centroids for each length
+    # bounded: COARSE centroids for each length
     shared = spark.sparkContext.broadcast(centroids)
 
     def assign(batches):
@@ -154,13 +162,13 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(near, pa.list_(pa.int32())), pa.array([v.tobytes() for v in vs], pa.binary())], names=["key", "mult", "probes", "v"])
 
     assigned = space.write(classes.select("key", "mult", "v").mapInArrow(assign, "key long, mult long, probes array<int>, v binary"), "assigned")
+    homes = {r.cell: r.n for r in assigned.groupBy(F.col("probes")[0].alias("cell")).agg(F.count("*").alias("n")).collect()}  # a row for each coarse cell
+    if max(homes.values()) > SPLIT * cell:
+        assigned = _refined(space, assigned, homes, cell, probes, max_sample)
     spread = assigned.select("*", F.posexplode("probes").alias("rank", "cell"))
-    sizes = {r.cell: r.n for r in spread.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    shares = F.lit(1)
-    if hot := {c: math.ceil(n / tile) for c, n in sizes.items() if n > tile}:  # at most as many as there are cells
-        table = F.create_map(*[F.lit(x) for c, n in hot.items() for x in (c, n)])
-        shares = F.coalesce(F.try_element_at(table, F.col("cell")), F.lit(1))
-    dealt = spread.withColumn("shares", shares).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
+    sizes = spread.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("shares"))
+    # a row for each cell; AQE broadcasts it while it is small
+    dealt = spread.join(space.write(sizes, "sizes"), "cell").withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda o: F.struct(F.least(F.col("share"), o.cast("int")).alias("x"), F.greatest(F.col("share"), o.cast("int")).alias("y")))
     dealt = dealt.select("cell", "key", "mult", "probes", "v", "share", F.explode(tiles).alias("t")).select("*", F.xxhash64("cell", "t.x", "t.y").alias("tile")).select("tile", "cell", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "key", "mult", "probes", "share", "v")
 
@@ -187,13 +195,62 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     counts = met.groupBy("key").agg(F.sum("n").alias("n"))
     roots = space.write(connected_components(space, met.select("key", "root").where("key <> root")), "roots")
     # of a component the least id, by way of its classes
-    of = space.write(classes.select("key", "least", "mult").join(roots.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left"), "of")
+    of = space.write(classes.select("key", "h1", "h2", "least", "mult").join(roots.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left"), "of")
     least = of.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    known = space.write(of.join(least, "root", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id")), "known")
-    out = keyed.select("id", "key").join(known, "key", "left")
+    known = space.write(of.join(least, "root", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id")), "known")
+    out = keyed.select("id", "h1", "h2").join(known, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
+def _refined(space: Workspace, assigned: DataFrame, homes: dict[int, int], cell: int, probes: int, max_sample: int) -> DataFrame:
+    """``assigned`` with the best fine cells of each vector's coarse cells as its probes.
+
+    Each coarse cell's task fits a centroid for each ``cell`` members on about ``max_sample`` of
+    them, at most ``MAX_FINE``: two levels suffice for COARSE * MAX_FINE * CELL vectors.
+    """
+    spark = space.spark
+    rows, base = [], 0
+    for c, n in sorted(homes.items()):
+        k = min(MAX_FINE, math.ceil(n / cell))
+        rows.append((c, base, k, min(1.0, max_sample / n), math.ceil(n / LOT) + 1))
+        base += k
+    cells = F.broadcast(spark.createDataFrame(rows, "coarse int, base long, k int, share double, lots int"))  # a row for each coarse cell
+    place = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    sample = assigned.select(F.col("probes")[0].alias("coarse"), "key", "v").join(cells, "coarse").where(place < F.col("share"))
+
+    def fit(table):
+        x = np.stack([np.frombuffer(v) for v in table.column("v").to_pylist()])
+        x = x[np.lexsort(x.T[:2])]  # the same whatever the order of rows
+        c = spherical_kmeans(x, table.column("k")[0].as_py())
+        return pa.table({"coarse": table.column("coarse")[:1].combine_chunks(), "m": pa.array([c.tobytes()], pa.binary())})
+
+    fitted = space.write(sample.select("coarse", "k", "v").groupBy("coarse").applyInArrow(fit, "coarse int, m binary"), "fitted")
+    # a coarse cell's rows meet its centroids in lots, each with a copy of them
+    met = assigned.select("key", "v", F.explode("probes").alias("coarse")).join(cells, "coarse").withColumn("lot", F.pmod(F.xxhash64("key"), F.col("lots")).cast("int"))
+    held = cells.join(fitted, "coarse").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select("coarse", "lot", "m")
+
+    def near(left, right):
+        if not left.num_rows:
+            return pa.table({"key": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64()), "cell": pa.array([], pa.int64())})
+        raw = left.column("v").to_pylist()
+        x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+        # a cell of whose members none was sampled is one fine cell
+        c = np.frombuffer(right.column("m")[0].as_py(), np.float64).reshape(-1, x.shape[1]) if right.num_rows else np.zeros((1, x.shape[1]))
+        m = min(probes, len(c))
+        keys, first = left.column("key").to_numpy(), left.column("base")[0].as_py()
+        out = []
+        for i in range(0, len(x), 4096):
+            dots = x[i : i + 4096] @ c.T
+            top = np.argpartition(-dots, m - 1, axis=1)[:, :m]
+            out.append((np.repeat(keys[i : i + 4096], m), np.take_along_axis(dots, top, 1).ravel(), first + top.ravel()))
+        k, cosine, of = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"key": k, "cosine": cosine, "cell": of.astype(np.int64)})
+
+    found = met.select("coarse", "lot", "key", "v", "base").groupBy("coarse", "lot").cogroup(held.groupBy("coarse", "lot")).applyInArrow(near, "key long, cosine double, cell long")
+    best = found.groupBy("key").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "cell"))), lambda x: x["cell"]), 1, probes).alias("probes"))
+    return space.write(assigned.drop("probes").join(best, "key").select("key", "mult", "probes", "v"), "refined")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

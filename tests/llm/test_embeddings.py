@@ -45,7 +45,7 @@ def cluster(rng, n, dim, spread=0.08):
     return [[float(np.float32(x)) for x in v] for v in out[:n]]
 
 
-@pytest.mark.parametrize("kw", [{}, {"cell": 50, "tile": 16}, {"cell": 20, "probes": 4, "tile": 5}])
+@pytest.mark.parametrize("kw", [{}, {"cell": 50, "tile": 16}, {"cell": 20, "probes": 4, "tile": 5}, {"cell": 10, "coarse": 2, "probes": 4}])
 def test_links_with_copies_and_tiles(spark, kw):
     rng = np.random.default_rng(1)
     vectors = cluster(rng, 160, 16) + [[1.0] * 16] * 40 + [[2.0] * 16] * 7
@@ -72,13 +72,42 @@ def test_repeated_rows_null_ids_and_other_columns(spark):
     assert sorted(map(str, (tuple(r) for r in out))) == sorted(map(str, [(3, 2, 3, True), (3, 2, 3, True), (None, 2, 3, False), (None, 0, None, True)]))
 
 
+def test_work_a_row_does_not_grow(spark, monkeypatch):
+    """With few coarse cells, ten times the rows meet about as many others each."""
+    rng = np.random.default_rng(6)
+    work = []
+    compare = E._group
+    for n in (600, 6000):
+        vectors = cluster(rng, n, 16)
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+        spread = []
+        write = E.Workspace.write
+
+        def seen(self, df, name, *more):
+            out = write(self, df, name, *more)
+            if name in ("assigned", "refined"):
+                spread.append(out)
+            return out
+
+        monkeypatch.setattr(E.Workspace, "write", seen)
+        E.embedding_dedup(df, cell=20, coarse=4).count()
+        monkeypatch.setattr(E.Workspace, "write", write)
+        assert len(spread) == 2  # the coarse cells were parted
+        cells = spread[-1].selectExpr("explode(probes) as cell").groupBy("cell").count().collect()
+        homes = {r.cell: r.n for r in spread[-1].selectExpr("probes[0] as cell").groupBy("cell").agg({"*": "count"}).toDF("cell", "n").collect()}
+        work.append(sum(r["count"] * homes.get(r.cell, 0) for r in cells) / n)
+    assert work[1] < 2 * work[0] and compare is E._group
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no test data")
-def test_recall_on_the_table(spark):
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+@pytest.mark.parametrize("sf,coarse", [("sf0.01", 2048), ("sf0.1", 2048), ("sf0.1", 3)])
+def test_recall_on_the_table(spark, sf, coarse):
+    path = SF.parent / sf / "embeddings.parquet"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(str(path)).collect()]
     x = np.array([v for _, v in rows], float)
     x /= np.linalg.norm(x, axis=1)[:, None]
     near = x @ x.T >= 0.95
     want = near.sum() - len(rows)
-    got = {r.vec_id: r.n_links for r in E.op6_embedding_dedup(spark, str(SF)).collect()}
+    got = {r.vec_id: r.n_links for r in E.embedding_dedup(spark.read.parquet(str(path)), coarse=coarse, cell=E.CELL if coarse > 3 else 100).collect()}
     assert all(got[i] <= n - 1 for (i, _), n in zip(rows, near.sum(1)))
     assert sum(got.values()) >= 0.9 * want
