@@ -11,7 +11,7 @@ No merge crosses the edge between a character and a word mark, or touches a char
 only stands alone in the vocabulary (a line feed, say), as no piece spans such an edge. So a
 text is cut there and each distinct chunk is encoded once by a worker (up to a bound, then
 forgotten). Each new chunk's ids are held against the sentencepiece library's, all new chunks
-of an Arrow batch in one call; a difference raises.
+of an Arrow batch in one call; a difference raises. The library decodes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import hashlib
 import heapq
 import re
 import struct
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -102,10 +101,6 @@ class AgendaEncoder:
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(size)]
         self.vocab = {sp.id_to_piece(i): (-sp.get_score(i), i) for i in range(size) if not special[i]}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_ids = set(self.bytes)
-        byte_of = {i: bytes([b]) for b, i in enumerate(self.bytes)}
-        #: What each id adds to a decoded text; control pieces add nothing.
-        self.surface = [byte_of.get(i) or (b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ").encode()) for i in range(size)]
         joined = {c for p in self.vocab if len(p) > 1 for c in p}
         #: Characters that stand side by side in some piece.
         self.joins = {p[i : i + 2] for p in self.vocab for i in range(len(p) - 1)}
@@ -253,40 +248,8 @@ class AgendaEncoder:
         return out
 
     def decode(self, ids) -> str:
-        """The text of ids, as the library gives it: bytes that are no UTF-8 become U+FFFD each."""
-        ids = list(ids)
-        inner = [i for i in ids if i not in (self.bos, self.eos)]
-        raw = b"".join(map(self.surface.__getitem__, inner))
-        # the mark that encoding put before the text
-        drop = 1 if inner and raw[:1] == b" " and not (inner[0] in self.byte_ids or self.library.is_unknown(inner[0])) else 0
-        plain = inner == ids[len(ids) - len(inner) - 1 : -1] if len(ids) == len(inner) + 2 else inner == ids
-        if plain or self.byte_ids.isdisjoint(ids):
-            try:
-                return raw[drop:].decode()
-            except UnicodeDecodeError:
-                pass
-        # bytes join up to characters only where they are neighbours
-        parts = []
-        for is_byte, run in groupby(ids, self.byte_ids.__contains__):
-            part = b"".join(map(self.surface.__getitem__, run))
-            parts.append(_repair(part) if is_byte else part.decode())
-        return "".join(parts)[drop:]
-
-
-def _repair(raw: bytes) -> str:
-    out, i = [], 0
-    while i < len(raw):
-        for n in (1, 2, 3, 4):
-            try:
-                out.append(raw[i : i + n].decode())
-                i += n
-                break
-            except UnicodeDecodeError:
-                continue
-        else:
-            out.append("�")
-            i += 1
-    return "".join(out)
+        """The text of ids, by the library."""
+        return self.library.decode(list(ids))
 
 
 _encoders: dict[tuple, AgendaEncoder] = {}
