@@ -61,14 +61,24 @@ _FAMILIES = {
 FAMILY = {code: name for name, codes in _FAMILIES.items() for code in codes.split()}
 
 
-def _others() -> re.Pattern:
-    """Runs of characters that are neither letters nor marks."""
-    kept = (c for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LM")
+def _others(upto: int) -> re.Pattern:
+    """Runs of characters that are neither letters nor marks; of those before ``upto``."""
+    kept = (c for c in range(upto) if unicodedata.category(chr(c))[0] in "LM")
     runs = [[c for _, c in run] for _, run in groupby(enumerate(kept), lambda p: p[1] - p[0])]
     return re.compile("[^" + "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in runs) + "]+")
 
 
-_NO_LETTERS = _others()
+_NO_LETTERS, _NO_LATIN_LETTERS = _others(0x110000), _others(0x100)
+
+
+def letters(text: str) -> str:
+    """The text in lower case, with one blank for all that stands between letters and marks."""
+    low = text.lower()
+    try:
+        low.encode("latin-1")
+    except UnicodeEncodeError:
+        return _NO_LETTERS.sub(" ", low)
+    return _NO_LATIN_LETTERS.sub(" ", low)  # a small set of characters is matched faster
 
 
 def family_of(lang: str) -> str:
@@ -78,7 +88,7 @@ def family_of(lang: str) -> str:
 
 def grams(text: str) -> list[np.ndarray] | None:
     """Hashed n-grams for each order, each order in a range of its own; None without letters."""
-    plain = _NO_LETTERS.sub(" ", text.lower()).strip(" ")
+    plain = letters(text).strip(" ")
     if not any(map(str.isalpha, plain)):  # marks alone are no letters
         return None
     codes = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32)

@@ -33,6 +33,8 @@ def test_grams_are_whole_texts():
 def test_letters_are_category_l():
     for none in ("½ ² Ⅷ ①", "٣ 42 _", "\u0301\u0300", "🙂"):
         assert L.grams(none) is None
+    every = "".join(chr(c) + "x" for c in range(0x250) if not 0xD800 <= c < 0xE000)
+    assert L.letters(every) == L._NO_LETTERS.sub(" ", every.lower()) and L.letters(every[:300]) == L._NO_LETTERS.sub(" ", every[:300].lower())
     # vowel signs stay in their words
     assert L.grams("किताब")[0].size == len("किताब") + 2
 
