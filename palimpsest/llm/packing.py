@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import zlib
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Memo, Workspace, documents, strings
+from palimpsest.llm.common import Workspace, documents, strings
 
 WINDOW = 1024
 END_ID = 2
@@ -31,17 +30,20 @@ END_ID = 2
 SLACKS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Pieces of one length that are ranked together; a length with more is dealt into shares.
 SHARE = 100_000
-#: Distinct chunks that a worker remembers, and texts that are cut before their new chunks are encoded.
-CACHE_CHUNKS, GROUP = 300_000, 256
+#: Distinct chunks that a worker remembers, characters of texts that are cut before their new
+#: chunks are encoded, and chunks that the library encodes in one text.
+CACHE_CHUNKS, GROUP_CHARS, LOT = 400_000, 2_000_000, 2000
+#: Rows of an Arrow batch that are in memory as pieces at a time.
+ROWS = 2000
 
 
 class ByteTokenizer:
     """Ids of whole texts as the tokenizers library gives them for a tokenizer file.
 
     All ids come from the library. Where the file splits texts by the byte-level pattern and
-    nothing else looks across a blank, a text is cut before its lone blanks, and each distinct
-    chunk is encoded by the library once and remembered (up to a bound, then forgotten). Other
-    files' texts, and texts with blanks that the pattern may join, are encoded whole.
+    nothing else looks across its edges, a text is cut at some of them, and each distinct chunk
+    is encoded by the library once and remembered (up to a bound, then forgotten). Other files'
+    texts, and texts with an added token's string, are encoded whole.
     """
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
@@ -49,49 +51,97 @@ class ByteTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cuts = _cuts_at_blanks(self.library)
+        self.cuts = _cuts_by_pattern(self.library)
         #: Strings that the library takes out before it splits, as if a text ended there.
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known = Memo(cache_chunks)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+        #: The id of a line feed, which no chunk without one gives.
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.bound = cache_chunks
+        self.known: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks by the library: those that are no white space by lots, a line feed
+        between two, which has a piece of its own there."""
+        alone = [c.isspace() for c in chunks] if self.feed is not None else [True] * len(chunks)
+        plain = [c for c, a in zip(chunks, alone) if not a]
+        found: list[bytes] = []
+        for i in range(0, len(plain), LOT):
+            lot = plain[i : i + LOT]
+            (ids,) = self._library(["\n".join(lot)])
+            at = 4 * np.flatnonzero(ids == self.feed)
+            if len(at) != len(lot) - 1:
+                raise ValueError("line feeds between chunks did not stay apart")
+            raw = ids.tobytes()
+            found += [raw[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)])]
+        whole = iter(self._library([c for c, a in zip(chunks, alone) if a]))
+        rest = iter(found)
+        return [next(whole).tobytes() if a else next(rest) for a in alone]
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
+        every: list[str] = []
+        sizes = []
+        for t in texts:
+            found = _CHUNK.findall(t)
+            sizes.append(len(found))
+            every += found
+        coded = pa.array(every, pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.known) > self.bound:
+            self.known.clear()
+        blobs = list(map(self.known.get, distinct))
+        if new := [i for i, ids in enumerate(blobs) if ids is None]:
+            chunks = [distinct[i] for i in new]
+            made = self._learn(chunks)
+            self.known.update(zip(chunks, made))
+            for i, ids in zip(new, made):
+                blobs[i] = ids
+        flat = np.frombuffer(b"".join(blobs), "<u4")
+        # a group's ids are few enough for 32-bit places
+        lengths = np.fromiter(map(len, blobs), np.int32, len(blobs)) >> 2
+        starts = lengths.cumsum(dtype=np.int32) - lengths
+        codes = coded.indices.to_numpy()
+        n = lengths[codes]
+        ends = np.zeros(len(n) + 1, np.int32)
+        n.cumsum(out=ends[1:], dtype=np.int32)
+        ids = flat[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1], dtype=np.int32)].tobytes()
+        at = 4 * ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].astype(np.int64)
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for i in range(0, len(texts), GROUP):
-            group = texts[i : i + GROUP]
-            chunks = [_chunks(t) if self.cuts and not _JOINED.search(t) and not any(a in t for a in self.added) else None for t in group]
-            found = [None if c is None else list(map(self.known.get, c)) for c in chunks]
-            missing = [c for cs, fs in zip(chunks, found) if cs is not None and None in fs for c, f in zip(cs, fs) if f is None]
-            if new := self.known.lacks(missing):
-                self.known.update(zip(new, self._library(new)))
-            whole = iter(self._library([t for t, c in zip(group, chunks) if c is None]))
-            for cs, fs in zip(chunks, found):
-                if cs is None:
-                    out.append(next(whole))
-                else:
-                    out.append(b"".join([self.known[c] if f is None else f for c, f in zip(cs, fs)] if None in fs else fs))
-            self.known.turn()
+        while len(out) < len(texts):
+            group, size = [], 0
+            for t in texts[len(out) :]:
+                group.append(t)
+                size += len(t)
+                if size > GROUP_CHARS:
+                    break
+            cut = [self.cuts and not _UNLIKE.search(t) and not any(a in t for a in self.added) for t in group]
+            chunked = iter(self._by_chunks([t for t, c in zip(group, cut) if c]))
+            whole = iter(self._library([t for t, c in zip(group, cut) if not c]))
+            out += [next(chunked) if c else next(whole).tobytes() for c in cut]
         return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
 
-#: A blank between white space and either more of it or the end: the pattern may join them.
-_JOINED = re.compile(r"\s (?!\S)")
-
+_LATIN, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+#: Runs of Latin letters, of ASCII signs but apostrophes and of digits, each with the blank before
+#: it, where what follows is none of its kind; other runs without white space; and white space as
+#: the byte-level pattern parts it. That has an edge wherever one of these ends.
+_CHUNK = re.compile(rf" ?[{_LATIN}]+(?=[\x00-@\[-`{{-\x7f\s]|$)| ?[{_SIGNS}]+(?=[{_LATIN}0-9\s]|$)| ?[0-9]+(?=[\x00-/:-\x7f\s]|$)| ?\S+|\s+(?!\S)|\s+")
+#: White space for Python's patterns only.
+_UNLIKE = re.compile("[\x1c-\x1f]")
 
-def _chunks(text: str) -> list[str]:
-    """The text, cut before each blank."""
-    return text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else re.split("(?= )", text)
 
-
-def _cuts_at_blanks(library) -> bool:
-    """Whether a cut before a blank that ``_JOINED`` doesn't match leaves the ids as they are."""
+def _cuts_by_pattern(library) -> bool:
+    """Whether texts cut by ``_CHUNK`` keep their ids: the file parts them by the byte-level pattern."""
     made = json.loads(library.to_str())
     if made.get("normalizer") or made.get("truncation") or made.get("padding"):
         return False
@@ -125,20 +175,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         tok = tokenizer(tokenizer_path)
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
-            for key, data in zip(batch.column(0).to_pylist(), tok.encode_batch(strings(batch.column(1)))):
-                data += end
-                n = len(data) // 4
-                start, size = 0, n - (n - 1) // window * window
-                for piece in range(-(-n // window)):
-                    part = data[4 * start : 4 * (start + size)]
-                    for column, x in zip(rows, (key, piece, start, size, zlib.crc32(part), part)):
-                        column.append(x)
-                    start, size = start + size, window
-            kinds = (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            columns = [pa.array(c, k) for c, k in zip(rows, kinds)][: 5 + with_ids]
-            yield pa.record_batch(columns, names=["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                rows: list[list] = [[], [], [], [], [], []][: 5 + with_ids]
+                for key, data in zip(batch.column(0).to_pylist(), tok.encode_batch(strings(batch.column(1)))):
+                    data += end
+                    n = len(data) // 4
+                    start, size = 0, n - (n - 1) // window * window
+                    for piece in range(-(-n // window)):
+                        part = data[4 * start : 4 * (start + size)]
+                        for column, x in zip(rows, (key, piece, start, size, zlib.crc32(part), part)):
+                            column.append(x)
+                        start, size = start + size, window
+                kinds = (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds)], names=["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
