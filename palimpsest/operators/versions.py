@@ -93,30 +93,36 @@ def earlier(rows: DataFrame, key: str, order: list[str], value: Column, how: str
     the last value that is not null (``how`` "last") or the largest ("max").
 
     A key may have a third of all rows. So the history is cut into slices of about equal numbers
-    of rows by the first column of ``order``; a window sees a key's rows of one slice, and each
-    slice's outcome (one row for a key and slice) is carried into the later ones.
+    of rows by the first column of ``order``, a number or a time. Each slice's outcome (one row for a
+    key and slice) is carried into the later ones as a row that comes first there, and a window
+    sees a key's rows of one slice. There is no join: null is a key like any other.
     """
     first = F.col(order[0])
     n = rows.count()
     slices = max(1, -(-n // rows_a_slice))
-    within = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(key, "_slice").orderBy("_mine", *order).rowsBetween(Window.unboundedPreceding, -1)
 
-    def of(c: Column, w) -> Column:
+    def of(c: str, w) -> Column:
         return F.last(c, ignorenulls=True).over(w) if how == "last" else F.max(c).over(w)
 
-    if slices == 1:
-        return rows.withColumn("_slice", F.lit(0)).withColumn(name, of(value, within)).drop("_slice")
-    cuts = rows.agg(F.percentile_approx(first.cast("double"), [i / slices for i in range(1, slices)], 10_000)).first()[0]
-    marks = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-    sliced = rows.withColumn("_slice", F.size(F.filter(marks, lambda c: c <= first.cast("double"))))
+    cuts = []
+    if slices > 1:
+        # as text and back: a time without a zone is no number, and Python has no literal for it
+        at_share = F.percentile_approx(first, [i / slices for i in range(1, slices)], 10_000)
+        cuts = rows.agg(at_share.cast("array<string>")).first()[0] or []
+    if not cuts:
+        whole = rows.withColumns({"_slice": F.lit(0), "_mine": F.lit(True), "_value": value})
+        return whole.withColumn(name, of("_value", within)).select(*rows.columns, name)
+    kind = rows.schema[order[0]].dataType
+    marks = F.array(*[F.lit(c).cast(kind) for c in sorted(set(cuts))])
+    sliced = rows.withColumns({"_slice": F.size(F.filter(marks, lambda c: c <= first)), "_mine": F.lit(True), "_value": value})
     at = F.struct(*order)
-    outcome = F.max_by(value, F.when(value.isNotNull(), at)) if how == "last" else F.max(value)
-    carried = sliced.groupBy(key, "_slice").agg(outcome.alias("_of")).withColumn("_carried", of(F.col("_of"), before)).drop("_of")
-    mine = of(value, within)
-    out = sliced.withColumn("_mine", mine).join(carried, [key, "_slice"], "left")
-    both = F.coalesce("_mine", "_carried") if how == "last" else F.greatest("_mine", "_carried")
-    return out.withColumn(name, both).select(*rows.columns, name)
+    outcome = F.max_by("_value", F.when(F.col("_value").isNotNull(), at)) if how == "last" else F.max("_value")
+    carried = sliced.groupBy(key, "_slice").agg(outcome.alias("_of")).withColumn("_value", of("_of", before))
+    carried = carried.where(F.col("_value").isNotNull()).drop("_of").withColumn("_mine", F.lit(False))
+    out = sliced.unionByName(carried, allowMissingColumns=True).withColumn(name, of("_value", within))
+    return out.where("_mine").select(*rows.columns, name)
 
 
 def accepted(operations: DataFrame, key: str, *order: str, rows_a_slice: int = SLICE) -> DataFrame:
