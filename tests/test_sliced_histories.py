@@ -14,6 +14,7 @@ from tests.test_queries import SF, plain
 QUERIES_OF_A_HISTORY = [
     "delete_tombstone_filter",
     "dml_outcomes",
+    "ext_snapshot_join_aggregate",
 ]
 
 
