@@ -15,6 +15,7 @@ QUERIES_OF_A_HISTORY = [
     "delete_tombstone_filter",
     "dml_outcomes",
     "ext_snapshot_join_aggregate",
+    "insert_unique_rows",
 ]
 
 
