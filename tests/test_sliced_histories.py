@@ -16,6 +16,7 @@ QUERIES_OF_A_HISTORY = [
     "dml_outcomes",
     "ext_snapshot_join_aggregate",
     "insert_unique_rows",
+    "own_writes_visible",
 ]
 
 
