@@ -17,6 +17,7 @@ QUERIES_OF_A_HISTORY = [
     "ext_snapshot_join_aggregate",
     "insert_unique_rows",
     "own_writes_visible",
+    "snapshot_delta_merge",
 ]
 
 
