@@ -18,6 +18,7 @@ QUERIES_OF_A_HISTORY = [
     "insert_unique_rows",
     "own_writes_visible",
     "snapshot_delta_merge",
+    "snapshot_read_asof",
 ]
 
 
