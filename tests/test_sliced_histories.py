@@ -19,6 +19,7 @@ QUERIES_OF_A_HISTORY = [
     "own_writes_visible",
     "snapshot_delta_merge",
     "snapshot_read_asof",
+    "snapshot_row_status",
 ]
 
 
