@@ -20,6 +20,7 @@ QUERIES_OF_A_HISTORY = [
     "snapshot_delta_merge",
     "snapshot_read_asof",
     "snapshot_row_status",
+    "tid_for_modify",
 ]
 
 
