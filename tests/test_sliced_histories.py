@@ -21,6 +21,7 @@ QUERIES_OF_A_HISTORY = [
     "snapshot_read_asof",
     "snapshot_row_status",
     "tid_for_modify",
+    "unique_key_free",
 ]
 
 
