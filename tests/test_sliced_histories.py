@@ -22,6 +22,7 @@ QUERIES_OF_A_HISTORY = [
     "snapshot_row_status",
     "tid_for_modify",
     "unique_key_free",
+    "write_conflicts",
 ]
 
 
