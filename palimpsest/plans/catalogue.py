@@ -37,10 +37,16 @@ def index_point_get(spark, sf_dir):
     return KeyIndex(ORDER_KEY).matching(orders, 7, own[0].upper() if own else None).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+#: Rows that agree up to the flag are alike in all that a query takes of ``lines``, tids apart.
+LINE_ORDER = LINE_COLUMNS[: LINE_COLUMNS.index("l_returnflag") + 1]
+
+
 @once
 def lines(spark, sf_dir) -> DataFrame:
-    """lineitem with its tid: rows are numbered in the order of all columns, once, and stored."""
-    return scratch(spark)(pages.numbered(table(spark, sf_dir, "lineitem"), *LINE_COLUMNS, scratch=scratch(spark), name="tid"))
+    """Keys, flags and tids of lineitem: rows are numbered in the order of all columns, and stored,
+    once. The columns after the flag settle no order that shows and stay unread."""
+    keep = ["l_orderkey", "l_linenumber", "l_returnflag"]
+    return pages.numbered(table(spark, sf_dir, "lineitem").select(*LINE_ORDER), *LINE_ORDER, scratch=scratch(spark), name="tid", keep=keep)
 
 
 _LINES = f"(SELECT *, row_number() OVER (ORDER BY {', '.join(c + ' NULLS FIRST' for c in LINE_COLUMNS)}) AS tid FROM lineitem)"

@@ -70,20 +70,35 @@ def tombstone(ordinal: Column) -> tuple[Column, Column]:
     return (F.lit(ROW_COUNT_BYTES) + F.floor(ordinal / 8)).cast("bigint"), F.pmod(ordinal, F.lit(8)).cast("bigint")
 
 
-def numbered(df: DataFrame, *order: str, scratch, name: str = "ordinal") -> DataFrame:
+#: Rows of a range that one task sorts: so many that it needs tens of MB, until there are
+#: MANY ranges, to which map tasks write without a buffer of their own; at most MOST_SORTED then.
+SORTED, MANY, MOST_SORTED = 250_000, 200, 2_000_000
+
+
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` sorted by ``order``, in as many ranges as its number of rows asks for, so that
+    no sort spills however few partitions the session sets."""
+    n = df.count()
+    ranges = max(1, min(MANY, -(-n // SORTED)), -(-n // MOST_SORTED))
+    return df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+
+
+def numbered(df: DataFrame, *order: str, scratch, name: str = "ordinal", keep: list[str] | None = None) -> DataFrame:
     """``df`` with its rows' 1-based places in a total order, without a single-task window."""
-    return numbered_from(df, *order, scratch=scratch, name=name)[0]
+    return numbered_from(df, *order, scratch=scratch, name=name, keep=keep)[0]
 
 
-def numbered_from(df: DataFrame, *order: str, scratch, name: str = "ordinal") -> tuple[DataFrame, int]:
+def numbered_from(df: DataFrame, *order: str, scratch, name: str = "ordinal", keep: list[str] | None = None) -> tuple[DataFrame, int]:
     """``numbered``, and the number of rows. Without an ``order`` rows are numbered as they lie in
     their partitions, with no exchange.
 
-    Rows are (range-partitioned and sorted by ``order`` and) written once by ``scratch``; each
-    partition's number of rows (one number for each partition) shifts its rows' places.
+    Rows are (``ranged`` by ``order`` and) written once by ``scratch``, only the columns to
+    ``keep`` (None: all); each partition's number of rows (one number for each partition) shifts
+    its rows' places as they are read.
     """
     at = F.monotonically_increasing_id()
-    placed = scratch((df.orderBy(*order) if order else df).withColumn("_at", at))
+    kept = ["*"] if keep is None else keep
+    placed = scratch((ranged(df, *order) if order else df).select(*kept, at.alias("_at")))
     part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted((r.p, r.n) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     shifts, total = [], 0

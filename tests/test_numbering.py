@@ -1,0 +1,53 @@
+"""Rows are numbered in ranges of bounded size, written once, with the columns that are kept."""
+
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.plans import catalogue
+from palimpsest.sources import pages
+from tests.test_queries import SF
+
+
+def recording(spark, tmp_path):
+    """A scratch function, and the columns and partitions of what it wrote."""
+    wrote = []
+
+    def write(df):
+        path = str(tmp_path / uuid.uuid4().hex)
+        df.write.parquet(path)
+        back = spark.read.schema(df.schema).parquet(path)
+        wrote.append((df.columns, back.groupBy(F.input_file_name()).count().count()))
+        return back
+
+    return write, wrote
+
+
+def test_ranges_follow_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "SORTED", 100)
+    monkeypatch.setattr(pages, "MANY", 6)
+    monkeypatch.setattr(pages, "MOST_SORTED", 250)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for n, ranges in ((1, 1), (400, 4), (1000, 6), (2000, 8)):
+            write, wrote = recording(spark, tmp_path)
+            df = spark.range(n).select((F.lit(n - 1) - F.col("id")).alias("x"), F.lit("y").alias("y"))
+            got = pages.numbered(df, "x", scratch=write, keep=["x"])
+            assert got.columns == ["x", "ordinal"] and got.where("x + 1 <> ordinal").isEmpty() and got.count() == n
+            assert wrote == [(["x", "_at"], ranges)]
+        assert pages.numbered(df.where("false"), "x", scratch=write).columns == ["x", "y", "ordinal"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test data")
+def test_lines_are_written_once(spark, tmp_path, monkeypatch):
+    write, wrote = recording(spark, tmp_path)
+    monkeypatch.setattr(catalogue, "scratch", lambda _: write)
+    (tmp_path / "sf").symlink_to(SF)  # a path of its own: lines are made once for each
+    rows = catalogue.lines(spark, str(tmp_path / "sf"))
+    assert [columns for columns, _ in wrote] == [["l_orderkey", "l_linenumber", "l_returnflag", "_at"]]
+    n = rows.count()
+    assert rows.agg(F.min("tid"), F.max("tid"), F.count_distinct("tid")).first() == (1, n, n)
